@@ -112,13 +112,13 @@ lr AS (
 
 SUPPLIERS = """
 sa AS (
-  SELECT l_suppkey, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue, round(avg(l_discount),6) AS discount,
+  SELECT l_suppkey, round(sum(l_extendedprice*(1-l_discount)),4) AS revenue, round(avg(l_discount),6) AS discount,
          CAST(count(*) AS DOUBLE) AS lines, round(stddev_samp(l_quantity),6) AS spread
   FROM lineitem GROUP BY l_suppkey)"""
 
 PARTS = """
 pa AS (
-  SELECT p_brand, l_partkey, round(sum(l_extendedprice*(1-l_discount)),2) AS revenue, round(avg(l_discount),6) AS discount,
+  SELECT p_brand, l_partkey, round(sum(l_extendedprice*(1-l_discount)),4) AS revenue, round(avg(l_discount),6) AS discount,
          CAST(count(*) AS DOUBLE) AS lines, coalesce(round(stddev_samp(l_quantity),6),0.0) AS spread
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, l_partkey)"""
 

@@ -99,7 +99,7 @@ def supplier_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as alternatives: revenue, discount, lines, spread of quantity."""
     line = table(spark, sf_dir, "lineitem")
     return line.groupBy("l_suppkey").agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"),
         F.round(F.avg("l_discount"), 6).alias("discount"),
         F.count(F.lit(1)).cast("double").alias("lines"),
         F.round(F.stddev_samp("l_quantity"), 6).alias("spread"))
@@ -108,7 +108,7 @@ def supplier_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as alternatives inside their brand."""
     line = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
+        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"),
         F.round(F.avg("l_discount"), 6).alias("discount"),
         F.count(F.lit(1)).cast("double").alias("lines"),
         F.coalesce(F.round(F.stddev_samp("l_quantity"), 6), F.lit(0.0)).alias("spread"))
@@ -119,3 +119,16 @@ def part_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Criterion kinds and weights of the alternative tables.
 ALT_CRITERIA = {"revenue": "benefit", "discount": "cost", "lines": "benefit", "spread": "cost"}
 ALT_WEIGHTS = {"revenue": 0.4, "discount": 0.25, "lines": 0.2, "spread": 0.15}
+
+
+def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last-month and same-month-last-year forecasts of log revenue on walk-forward test rows."""
+    from ..operators.distributed import Blocks
+    from ..operators.folds import assign_folds, fold_plan, period_axis
+
+    panel = nation_aligned(spark, sf_dir).withColumn("actual", F.ln("y"))
+    b = Blocks(panel, ["n_name"], back=12)
+    wide = b.select(b.at("actual", -1).alias("naive"), b.at("actual", -12).alias("seasonal"))
+    tests = assign_folds(wide, fold_plan(period_axis(panel), 40))
+    long = tests.unpivot(["n_name", "fold_id", "horizon", "period", "actual"], ["naive", "seasonal"], "model", "predicted")
+    return long.where(F.col("actual").isNotNull() & F.col("predicted").isNotNull())

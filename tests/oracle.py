@@ -36,7 +36,9 @@ def rows_of(columns, rows):
 
 
 def compare(df, con, sql: str):
+    t = time.time()
     got = df.collect()
+    compare.spark_s = time.time() - t
     cur = con.execute(sql)
     want_cols = [d[0] for d in cur.description]
     want = cur.fetchall()
@@ -79,7 +81,7 @@ def main(argv):
             n, diff = -1, [f"{type(e).__name__}: {str(e)[:1500]}"]
         bad += bool(diff)
         state = "FAIL" if diff else ("ok  " if name in oracle else "rows")
-        print(f"{state} {name:34s} {n:7d} rows {time.time() - t:6.2f}s", flush=True)
+        print(f"{state} {name:34s} {n:7d} rows {time.time() - t:6.2f}s (spark run {getattr(compare, "spark_s", 0):.2f}s)", flush=True)
         for d in diff:
             print("     ", d[:1500])
     print("failures:", bad)
