@@ -78,7 +78,7 @@ for _id, _m in (("a4_baseline_naive", "naive"), ("a5_baseline_mean", "mean"), ("
           f"WITH {NATION_QUARTER}, {BASELINES} SELECT n_name, year, {_m} AS predicted FROM bl")(_baseline(_m))
 
 
-@query("a8_compare_baselines", "model:s n_name:s model_mae:4 n_years:i mae_naive:4 mae_mean:4 mae_linear:4 best_baseline:s beats_all:b improvement:4", f"""
+@query("a8_compare_baselines", "model:s n_name:s model_mae:-2 n_years:i mae_naive:-2 mae_mean:-2 mae_linear:-2 best_baseline:s beats_all:b improvement:-2", f"""
 {BASE}, {DEDUPED}, {ANNUAL}, {NATION_QUARTER}, {BASELINES},
 j AS (SELECT an.model, bl.*, predicted_annual FROM an JOIN bl ON an.n_name = bl.n_name AND an.year = bl.year),
 s AS (SELECT model, n_name, avg(abs(value - predicted_annual)) AS model_mae, count(*) AS n_years, avg(abs(value-naive)) AS mae_naive, avg(abs(value-mean)) AS mae_mean, avg(abs(value-linear)) AS mae_linear FROM j GROUP BY 1, 2)

@@ -84,7 +84,7 @@ def ridge_fits(df: DataFrame, target: str, features: Sequence[str], windows: Seq
     """Ridge coefficients per train window, feature option and penalty (lazy).
 
     ``(keys…, train_start_ord, train_end_ord, fs_option, alpha, n, intercept,
-    beta, beta_std)``; beta has one entry per feature, 0 where it is not used.
+    beta, beta_std, means)``; beta has one entry per feature, 0 where it is not used.
     """
     features = list(features)
     opts = {k: [features.index(f) for f in v] for k, v in (options or {"all": features}).items()}
@@ -99,11 +99,11 @@ def ridge_fits(df: DataFrame, target: str, features: Sequence[str], windows: Seq
                 b0, b, bs = ridge_solve(m, idx, p, a)
                 full, full_std = np.zeros(p), np.zeros(p)
                 full[idx], full_std[idx] = b, bs
-                out.append([*key, name, float(a), int(m.n), b0, full, full_std])
-        return pd.DataFrame(out, columns=[*by, "fs_option", "alpha", "n", "intercept", "beta", "beta_std"])
+                out.append([*key, name, float(a), int(m.n), b0, full, full_std, m.mean[:p]])
+        return pd.DataFrame(out, columns=[*by, "fs_option", "alpha", "n", "intercept", "beta", "beta_std", "means"])
 
     schema = ", ".join([*_key_fields(df, keys), "train_start_ord bigint", "train_end_ord bigint", "fs_option string", "alpha double",
-                        "n bigint", "intercept double", "beta array<double>", "beta_std array<double>"])
+                        "n bigint", "intercept double", "beta array<double>", "beta_std array<double>", "means array<double>"])
     return per_group(g, fn, schema)
 
 
