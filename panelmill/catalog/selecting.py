@@ -315,5 +315,5 @@ def c5(spark, sf):
 @query("c5_run_all_fs", "fs_option:s n_features:i features:s")
 def c5b(spark, sf):
     rows = line_rows(spark, sf)
-    options, _ = run_all_fs(rows, LINE_FEATURES, "target", line_plan(rows, 64, 8), top_k=6, forest=SMALL_FOREST, gbt=SMALL_GBT)
+    options, _ = run_all_fs(rows, LINE_FEATURES, "target", line_plan(rows, 70, 8), top_k=6, forest=SMALL_FOREST, gbt=SMALL_GBT)
     return C.options_summary(options, C.feature_list(spark, LINE_FEATURES)).withColumn("features", F.concat_ws(",", "features"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reuse
+from ..session import settle, small_table
 from .distributed import attach_stats, average_rank, null_safe
 
 CHUNK = 4096        # rows per skyline comparison group
@@ -70,7 +70,7 @@ def pareto_filter(df: DataFrame, criteria: Mapping[str, str], by: Sequence[str]
                     part = g.iloc[at:at + chunk]
                     yield part[_skyline(part[gains].to_numpy(dtype=float))]
 
-    survivors = reuse(points.mapInPandas(local, schema).distinct())
+    survivors = settle(points.mapInPandas(local, schema).distinct())
     parts = F.greatest(F.lit(1), F.ceil(F.col("__m") / chunk)).cast("int")
     sized = attach_stats(survivors, {"__m": F.count(F.lit(1))}, by)
     sized = sized.withColumn("__k", parts).withColumn("__home", F.pmod(F.xxhash64(*gains), F.col("__k")).cast("int"))
@@ -130,7 +130,7 @@ def _topsis(df: DataFrame, criteria: Mapping[str, str], w: Mapping[str, Column],
         minus = minus + F.pow(unit(c, F.col(c)) - unit(c, F.col(worst)), F.lit(2.0))
     out = out.withColumn("topsis_d_plus", F.sqrt(plus)).withColumn("topsis_d_minus", F.sqrt(minus)).withColumn(
         "topsis_score", F.col("topsis_d_minus") / (F.col("topsis_d_plus") + F.col("topsis_d_minus") + EPS)).drop(*stats)
-    return average_rank(reuse(out), "topsis_score", by, descending=True, name="topsis_rank")
+    return average_rank(settle(out), "topsis_score", by, descending=True, name="topsis_rank")
 
 
 def _regret(criteria: Mapping[str, str], w: Mapping[str, Column], cost_sign: str) -> tuple[Column, Column]:
@@ -192,12 +192,12 @@ def vikor(df: DataFrame, criteria: Mapping[str, str], weights: Mapping[str, floa
     1/(n − 1) in Q and is also best in S or in R. ``tie`` orders equal Q.
     ``cost_sign='reference'`` lowers S for a bad cost, as published runs did.
     """
-    # alternatives are read by several small aggregations: keep them at hand
-    scored = reuse(vikor_scores(reuse(df), criteria, weights, v, by, cost_sign))
+    # alternatives feed several aggregations: write each reduced stage once
+    scored = settle(vikor_scores(settle(df), criteria, weights, v, by, cost_sign))
     ranked = average_rank(scored, "vikor_Q", by, name="vikor_rank")
     # the two smallest Q per group: an aggregation with a small bounded array
     lead = F.struct("vikor_Q", *tie, "vikor_S", "vikor_R", F.xxhash64(*df.columns).alias("h"))
-    first = attach_stats(reuse(ranked).withColumn("__lead", lead), {
+    first = attach_stats(settle(ranked).withColumn("__lead", lead), {
         "__first": F.min("__lead"), "__s0": F.min("vikor_S"), "__r0": F.min("vikor_R"), "__n": F.count(F.lit(1))}, by)
     rest = F.when(F.col("__lead") > F.col("__first"), F.col("vikor_Q"))
     second = attach_stats(first, {"__second": F.min(rest)}, by)
@@ -227,14 +227,14 @@ def _rank_scenarios(df: DataFrame, scenarios: DataFrame, criteria: Mapping[str,
     crit = list(criteria)
     w = {c: F.col(f"__w_{c}") for c in crit}
     packed = scenarios.agg(F.collect_list(F.struct(*scenarios.columns)).alias("a"))
-    spread = attach_stats(reuse(df), {**_spread_stats(criteria), **({f"__n_{c}": F.sqrt(F.sum(F.col(c).cast("double") * F.col(c))) for c in crit} if method != "vikor" else {})}, by)
+    spread = attach_stats(settle(df), {**_spread_stats(criteria), **({f"__n_{c}": F.sqrt(F.sum(F.col(c).cast("double") * F.col(c))) for c in crit} if method != "vikor" else {})}, by)
     wide = spread.withColumn("__s", F.explode(packed.scalar())).select(*spread.columns, "__s.*")
     keys = [*by, "__sid"]
     if method == "vikor":
         s, r = _regret(criteria, w, cost_sign)
         wide = wide.withColumn("vikor_S", s).withColumn("vikor_R", r)
         scored = attach_stats(wide, _sr_range(), keys).withColumn("__score", _q(v))
-        return average_rank(reuse(scored), "__score", keys, name="new_rank")
+        return average_rank(settle(scored), "__score", keys, name="new_rank")
     plus, minus = F.lit(0.0), F.lit(0.0)
     for c in crit:
         best, worst = (f"__hi_{c}", f"__lo_{c}") if criteria[c] == "benefit" else (f"__lo_{c}", f"__hi_{c}")
@@ -242,23 +242,23 @@ def _rank_scenarios(df: DataFrame, scenarios: DataFrame, criteria: Mapping[str,
         plus = plus + F.pow((F.col(c) - F.col(best)) * unit, F.lit(2.0))
         minus = minus + F.pow((F.col(c) - F.col(worst)) * unit, F.lit(2.0))
     scored = wide.withColumn("__score", F.sqrt(minus) / (F.sqrt(plus) + F.sqrt(minus) + EPS))
-    return average_rank(reuse(scored), "__score", keys, descending=True, name="new_rank")
+    return average_rank(settle(scored), "__score", keys, descending=True, name="new_rank")
 
 
 def _scenario_table(df: DataFrame, rows: list[dict], labels: Sequence[str], crit: Sequence[str]) -> DataFrame:
     fields = ", ".join(["__sid int", *[f"{x} string" for x in labels], *[f"`__w_{c}` double" for c in crit]])
     data = [(i, *[r[x] for x in labels], *[float(r["w"][c]) for c in crit]) for i, r in enumerate(rows)]
-    return df.sparkSession.createDataFrame(data, fields)
+    return small_table(df.sparkSession, data, fields)
 
 
 def v_sensitivity(df: DataFrame, criteria: Mapping[str, str], weights: Mapping[str, float] | None = None, points: int = 11,
                   by: Sequence[str] = (), cost_sign: str = "textbook", low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Q and rank over a grid of v; S and R are computed once."""
-    base = vikor_scores(reuse(df), criteria, weights, 0.5, by, cost_sign)
+    base = vikor_scores(settle(df), criteria, weights, 0.5, by, cost_sign)
     base = attach_stats(base, _sr_range(), by)
     grid = F.array(*[F.lit(round(low + (high - low) * i / max(points - 1, 1), 10)) for i in range(points)])
     wide = base.withColumn("v", F.explode(grid)).withColumn("vikor_Q", _q(F.col("v"))).drop(*SR_STATS)
-    return average_rank(reuse(wide), "vikor_Q", [*by, "v"], name="rank").withColumn("v", F.round("v", 2))
+    return average_rank(settle(wide), "vikor_Q", [*by, "v"], name="rank").withColumn("v", F.round("v", 2))
 
 
 def weight_sensitivity(df: DataFrame, name: str, criteria: Mapping[str, str], weights: Mapping[str, float], perturbation: float = 0.2,
@@ -330,13 +330,13 @@ def select_alternatives(df: DataFrame, name: Sequence[str], criteria: Mapping[st
     w = normalised_weights(have, {c: weights[c] for c in have if c in weights})
     rows = df.na.drop(subset=list(have))
     if use_pareto:
-        rows = pareto_filter(reuse(rows), have, by)
+        rows = pareto_filter(settle(rows), have, by)
     score, down = _rank_by(method)
     if method == "vikor":
         ranked = vikor(rows, have, w, v, by, cost_sign, tie=name)
     else:
         ranked = topsis(rows, have, w, by)
-    ranked = reuse(ranked)
+    ranked = settle(ranked)
     best = top_n(ranked.select(*by, *name, score), top, score, by, tie=name, largest=down).select(*by, *name)
     flagged = null_safe(ranked, best.withColumn("__sel", F.lit(True)), [*by, *name], "left")
     return flagged.withColumn("is_selected", F.coalesce("__sel", F.lit(False))).drop("__sel")

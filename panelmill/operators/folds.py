@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import small_table
+
 HORIZONS = (1, 2, 4)
+PLAN_SCHEMA = ("fold_id int, horizon int, train_start date, train_end date, test_start date, test_end date, train_start_ord bigint, "
+               "train_end_ord bigint, test_start_ord bigint, test_end_ord bigint, train_size int, test_size int")
 
 
 def period_axis(panel: DataFrame, cols: Sequence[str] = ()) -> DataFrame:
@@ -28,6 +32,10 @@ def fold_plan(axis: DataFrame, min_train: int = 40, test: int = 4, horizons: Seq
     For horizon h the train window ends at position e = min_train − 1, + test, …
     while e + h + test ≤ n; the test window is the ``test`` positions from e + h.
     ``window`` keeps only the last periods of the train window (rolling start).
+
+    The plan has one row per fold and is needed by every later step, so it is
+    computed once here and becomes a literal table: no step scans the facts for
+    the period axis again.
     """
     listed = axis.agg(F.sort_array(F.collect_list(F.struct("pos", "ord", "period"))).alias("axis"))
     start = min_train - 1
@@ -48,7 +56,12 @@ def fold_plan(axis: DataFrame, min_train: int = 40, test: int = 4, horizons: Seq
         at(F.col("e") + F.col("horizon"), "ord").alias("test_start_ord"),
         at(F.col("e") + F.col("horizon") + test - 1, "ord").alias("test_end_ord"),
         (F.col("e") - first + 1).cast("int").alias("train_size"), F.lit(test).alias("test_size"))
-    return plan
+    return pin(plan)
+
+
+def pin(plan: DataFrame) -> DataFrame:
+    names = [f.strip().split(" ")[0] for f in PLAN_SCHEMA.split(",")]
+    return small_table(plan.sparkSession, [tuple(r) for r in plan.select(*names).collect()], PLAN_SCHEMA)
 
 
 def expanding_plan(axis: DataFrame, **kw) -> DataFrame:

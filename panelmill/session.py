@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_FALLBACK: list[str] = []
 
 
 def local_session(app: str = "panelmill", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -33,7 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     Only where that is unset (tests, one machine) a temporary folder is used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="panelmill-")
+    if folder:
+        return folder
+    if not _FALLBACK:
+        _FALLBACK.append(tempfile.mkdtemp(prefix="panelmill-"))
+    return _FALLBACK[0]
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -47,3 +57,23 @@ def durable(df: DataFrame) -> DataFrame:
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a table that several jobs read; lost blocks are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an aggregated table to the shared folder and read it back.
+
+    Used where a reduced table feeds several further aggregations: the plan
+    starts afresh from a file of known size, so neither the logical plan nor the
+    work upstream is repeated, and a lost executor only rereads the file.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A table of a few rows as a literal of the plan (folds, features, scenarios)."""
+    names = [f.strip().split(" ")[0].strip("`") for f in schema.split(",")]
+    data = json.dumps([dict(zip(names, r)) for r in rows], default=str)
+    fields = ", ".join(f"`{f.strip().split(' ')[0].strip('`')}`: {f.strip().split(' ', 1)[1]}" for f in schema.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{fields}>>")))
