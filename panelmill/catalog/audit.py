@@ -166,7 +166,7 @@ k AS (SELECT {key}, period, ord, {v} AS v,
   FROM {src} WINDOW b AS (PARTITION BY {key} ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY {key} ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query("q11_interpolate_linear", "event_type:s period:t total:4", f"""
+@query("q11_interpolate_linear", "event_type:s period:t total:7", f"""
 WITH {EVENTS_HOUR}, sp AS (SELECT unnest(generate_series((SELECT min(period) FROM eh), (SELECT max(period) FROM eh), INTERVAL 1 HOUR)) AS period),
 al AS (SELECT k.event_type, sp.period, CAST(floor(epoch(sp.period)/3600) AS BIGINT) AS ord, eh.total FROM (SELECT DISTINCT event_type FROM eh) k CROSS JOIN sp LEFT JOIN eh ON eh.event_type = k.event_type AND eh.period = sp.period),
 {INTERP.format(key='event_type', v='total', src='al')}

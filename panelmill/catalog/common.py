@@ -88,6 +88,12 @@ nq AS (
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
   WHERE o_orderdate < TIMESTAMP '2001-07-01' GROUP BY ALL)"""
 
+# the quarterly panel on the gap-free calendar
+QUARTER_ALIGNED = NATION_QUARTER.replace("nq AS", "nq0 AS") + """,
+qcal AS (SELECT CAST(unnest(generate_series((SELECT min(period) FROM nq0)::TIMESTAMP, (SELECT max(period) FROM nq0)::TIMESTAMP, INTERVAL 3 MONTH)) AS DATE) AS period),
+nq AS (SELECT k.n_name, qcal.period, nq0.y, nq0.n_orders, CAST(floor((year(qcal.period)*12 + month(qcal.period) - 1)/3) AS BIGINT) AS ord
+  FROM (SELECT DISTINCT n_name FROM nq0) k CROSS JOIN qcal LEFT JOIN nq0 ON nq0.n_name = k.n_name AND nq0.period = qcal.period)"""
+
 MONTH_SERIES = """
 ms AS (
   SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period, sum(o_totalprice) AS y, CAST(count(*) AS DOUBLE) AS n_orders,

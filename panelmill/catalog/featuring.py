@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as X
 from ..operators.folds import fold_plan, period_axis
 from ..plans.panels import line_rows, nation_aligned, nation_panel, region_quarter, table
-from .common import LINE_ROWS, NATION_ALIGNED, NATION_QUARTER, REGION_QUARTER, folds_sql, query
+from .common import LINE_ROWS, NATION_ALIGNED, NATION_QUARTER, QUARTER_ALIGNED, REGION_QUARTER, folds_sql, query
 
 W = "WINDOW w AS (PARTITION BY n_name ORDER BY ord)"
 
@@ -126,17 +126,17 @@ ENGINEERED = f"""
 fe AS (SELECT n_name, period, ord, y, n_orders, ln(y) AS target, lag(y,1) OVER w AS y_lag1, lag(y,2) OVER w AS y_lag2, lag(y,3) OVER w AS y_lag3, lag(y,4) OVER w AS y_lag4,
  {_r('avg', 4)} AS y_roll4_mean, {_r('stddev_samp', 4)} AS y_roll4_std, {_r('avg', 8)} AS y_roll8_mean, {_r('stddev_samp', 8)} AS y_roll8_std,
  lag(ln(y),1) OVER w - lag(ln(y),2) OVER w AS y_dlog, ln(n_orders) - lag(ln(n_orders)) OVER w AS n_orders_dlog, lag(y/n_orders) OVER w AS y_per_n_orders,
- greatest(0.0, 18.0 - n_orders) AS "HDD_proxy", greatest(0.0, n_orders - 18.0) AS "CDD_proxy",
+ CASE WHEN n_orders IS NOT NULL THEN greatest(0.0, 18.0 - n_orders) END AS "HDD_proxy", CASE WHEN n_orders IS NOT NULL THEN greatest(0.0, n_orders - 18.0) END AS "CDD_proxy",
  (quarter(period)=2)::INT AS "Q2", (quarter(period)=3)::INT AS "Q3", (quarter(period)=4)::INT AS "Q4",
  (period BETWEEN DATE '2020-01-01' AND DATE '2021-10-01')::INT AS "COVID", (period BETWEEN DATE '2022-01-01' AND DATE '2023-10-01')::INT AS "EnergyCrisis" FROM nq {W})"""
 
 
 def engineered(spark, sf):
-    panel = nation_panel(spark, sf, "quarter").drop("avg_price")
+    panel = nation_aligned(spark, sf, "quarter").drop("avg_price")
     return X.engineer_features(panel, "y", ["n_name"], rolling=(4, 8), growth=("y", "n_orders"), ratios=("n_orders",), degree_col="n_orders")
 
 
-@query("f13_engineer_features", ENG, f"WITH {NATION_QUARTER}, {ENGINEERED} SELECT * FROM fe")
+@query("f13_engineer_features", ENG, f"WITH {QUARTER_ALIGNED}, {ENGINEERED} SELECT * FROM fe")
 def f13(spark, sf):
     return engineered(spark, sf)[0]
 
@@ -144,7 +144,7 @@ def f13(spark, sf):
 DICT = {"n_orders": "original", "y_lag1": "lag", "y_roll4_mean": "rolling", "y_dlog": "growth", "y_per_n_orders": "ratio", "HDD_proxy": "degree", "Q2": "seasonality", "COVID": "shock"}
 
 
-@query("f14_feature_dictionary", "feature:s n_unique:i min:6 max:6 mean:4 missing_pct:6 category:s", f"WITH {NATION_QUARTER}, {ENGINEERED} " + " UNION ALL ".join(
+@query("f14_feature_dictionary", "feature:s n_unique:i min:6 max:6 mean:4 missing_pct:6 category:s", f"WITH {QUARTER_ALIGNED}, {ENGINEERED} " + " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, count(DISTINCT "{c}") AS n_unique, min("{c}") AS min, max("{c}") AS max, avg("{c}") AS mean, (count(*) - count("{c}"))*100.0/count(*) AS missing_pct, '{k}' AS category FROM fe"""
     for c, k in DICT.items()))
 def f14(spark, sf):
