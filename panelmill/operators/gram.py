@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SQL_LIMIT = 14   # vector entries up to which plain SQL sums are used
+SQL_LIMIT = 8    # vector entries up to which plain SQL sums are used (36 sums keep generated code small enough to compile)
 
 
 @dataclass
