@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, reuse, settle
 
 BLOCK = 4096       # ordinals per block of a long series
 BUCKETS = 1024     # brackets used to locate quantiles and ranks (a power of two)
@@ -36,13 +36,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 def attach_stats(df: DataFrame, stats: dict[str, Column], by: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
     """Add group statistics to every row.
 
-    With ``by`` this is a partial aggregation and an equi-join, so AQE picks
-    broadcast or a skew-split sort-merge join from measured sizes. Without
-    ``by`` the single row comes in as an uncorrelated scalar subquery.
+    With ``by`` the group table is aggregated and written first, so its true
+    size is known when the join is planned: below Spark's broadcast limit the
+    rows are not shuffled at all, above it a sort-merge join with AQE skew
+    splitting takes over. Without ``by`` the single row comes in as an
+    uncorrelated scalar subquery.
     """
     base = source if source is not None else df
     if by:
-        table = base.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])
+        table = settle(base.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()]))
         return null_safe(df, table, list(by), "left")
     one = base.agg(F.struct(*[c.alias(n) for n, c in stats.items()]).alias("s"))
     out = df.withColumn("__s", one.scalar())
@@ -139,7 +141,9 @@ def quantiles(long: DataFrame, probs: Sequence[float], by: Sequence[str] = ("var
     """
     by = list(by)
     rows = long.where(F.col(value).isNotNull()).select(*by, value)
-    edges = rows.groupBy(*by).agg(_edges(value).alias("__e"), F.count(F.lit(1)).alias("__n"))
+    # both lookup tables are written first: their known size lets the planner
+    # broadcast them or not, without shuffling the rows to find out
+    edges = settle(rows.groupBy(*by).agg(_edges(value).alias("__e"), F.count(F.lit(1)).alias("__n")))
     placed = _place(null_safe(rows, edges, by), value, "__e").select(*by, value, "__n", "__b")
     counts = placed.groupBy(*by, "__n", "__b").agg(F.count(F.lit(1)).alias("__c"))
     run = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
@@ -149,7 +153,7 @@ def quantiles(long: DataFrame, probs: Sequence[float], by: Sequence[str] = ("var
                  (F.floor(p * (F.col("__n") - 1)) if side == 0 else F.ceil(p * (F.col("__n") - 1))).alias("r"))
         for i, p in enumerate(probs) for side in (0, 1)])
     hits = F.filter(ranks, lambda t: (t["r"] >= F.col("__before")) & (t["r"] < F.col("__before") + F.col("__c")))
-    wanted = counts.withColumn("__hits", hits).where(F.size("__hits") > 0).select(*by, "__b", "__n", "__before", "__hits")
+    wanted = settle(counts.withColumn("__hits", hits).where(F.size("__hits") > 0).select(*by, "__b", "__n", "__before", "__hits"))
     inside = null_safe(placed.drop("__n"), wanted.select(*by, "__b"), [*by, "__b"], "left_semi")
     vc = inside.groupBy(*by, "__b", value).agg(F.count(F.lit(1)).alias("__c"))
     upto = W.partitionBy(*by, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
@@ -174,8 +178,8 @@ def value_ranks(long: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """
     keys = list(by) or ["__all"]
     src = long if by else long.withColumn("__all", F.lit("x"))
-    vc = src.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    edges = vc.groupBy(*keys).agg(_edges(value).alias("__e"))
+    vc = reuse(src.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties")))
+    edges = settle(vc.groupBy(*keys).agg(_edges(value).alias("__e")))
     placed = _place(null_safe(vc, edges, keys), value, "__e").select(*keys, value, "ties", "__b")
     run = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     before = placed.groupBy(*keys, "__b").agg(F.sum("ties").alias("__c")).select(
