@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.period import format_quarter, parse_period, season_label, season_number
 from ..operators.calendar import align_to_spine, coarsen, incomplete_periods, period_spine, to_period
 from ..plans.panels import events_hour, month_series, nation_panel, table
-from ..session import shared_folder
+from ..session import run_folder
 from ..sources.schema import resolve_schema, validate_schema
 from ..sources.tables import read_table, write_table
 from .common import EVENTS_HOUR, MONTH_SERIES, NATION_ALIGNED, NATION_MONTH, query
@@ -27,14 +27,14 @@ def s1(spark, sf):
 SELECT year(o_orderdate) AS year, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1""")
 def s2(spark, sf):
     orders = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
-    path = write_table(orders, f"{shared_folder(spark)}/s2-{uuid.uuid4().hex}", partition_by=["year"])
+    path = write_table(orders, f"{run_folder(spark)}/s2-{uuid.uuid4().hex}", partition_by=["year"])
     return spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
 
 
 @query("s2_write_table_csv", "n_name:s period:d y:2 n_orders:0", f"WITH {NATION_MONTH} SELECT * FROM nm")
 def s2csv(spark, sf):
     panel = nation_panel(spark, sf)
-    path = write_table(panel, f"{shared_folder(spark)}/s2-{uuid.uuid4().hex}.csv", fmt="csv")
+    path = write_table(panel, f"{run_folder(spark)}/s2-{uuid.uuid4().hex}.csv", fmt="csv")
     return read_table(spark, path, panel.schema)
 
 

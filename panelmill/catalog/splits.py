@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import folds as W
 from ..plans.panels import line_rows, region_quarter
-from ..session import shared_folder
+from ..session import run_folder
 from ..sources.tables import read_table, write_table
 from .common import LINE_ROWS, REGION_QUARTER, folds_sql, query
 
@@ -45,7 +45,7 @@ def w3(spark, sf):
     import uuid
 
     # saved and read back, then filtered
-    path = write_table(region_plan(spark, sf), f"{shared_folder(spark)}/w3-{uuid.uuid4().hex}")
+    path = write_table(region_plan(spark, sf), f"{run_folder(spark)}/w3-{uuid.uuid4().hex}")
     return W.folds_by_horizon(read_table(spark, path), 2)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
+_RUNS: set[str] = set()
 
 
 def local_session(app: str = "panelmill", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -36,16 +40,31 @@ def local_session(app: str = "panelmill", cpus: int | str = "*", partitions: int
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is used.
+    Where that is unset a temporary folder serves a local master only; a cluster
+    without a shared folder is an error, as its machines would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share (master is {master})")
     if not _FALLBACK:
         _FALLBACK.append(tempfile.mkdtemp(prefix="panelmill-"))
+        atexit.register(shutil.rmtree, _FALLBACK[0], ignore_errors=True)
     return _FALLBACK[0]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/run-{spark.sparkContext.applicationId}"
+    if path not in _RUNS:
+        _RUNS.add(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -66,7 +85,7 @@ def settle(df: DataFrame) -> DataFrame:
     starts afresh from a file of known size, so neither the logical plan nor the
     work upstream is repeated, and a lost executor only rereads the file.
     """
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
