@@ -9,6 +9,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 _FALLBACK: list[str] = []
 _RUNS: set[str] = set()
+_SHIPPED: set[str] = set()
 
 
 def local_session(app: str = "panelmill", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -96,3 +98,21 @@ def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> D
     data = json.dumps([dict(zip(names, r)) for r in rows], default=str)
     fields = ", ".join(f"`{f.strip().split(' ')[0].strip('`')}`: {f.strip().split(' ', 1)[1]}" for f in schema.split(","))
     return spark.range(1).select(F.inline(F.from_json(F.lit(data), f"array<struct<{fields}>>")))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so no machine needs it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="panelmill-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/panelmill.zip", "w") as out:
+        for at, _, files in os.walk(package):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(f"{folder}/panelmill.zip")
+    _SHIPPED.add(app)
