@@ -114,7 +114,7 @@ def count_ngrams(docs: DataFrame, text: str, label: str, orders: tuple[int, ...]
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, alpha: float = 0.5, max_labels: int = 512) -> dict:
     """Naive Bayes model of all rows whose text and label are not null.
 
-    The model is a matrix of 2**bits buckets by labels, the only thing that reaches the driver; more than ``max_labels``
+    The model is a matrix of labels by 2**bits buckets, the only thing that reaches the driver; more than ``max_labels``
     distinct labels raise an error, so its size is bounded (labels are names of languages). No labelled row: no label.
     """
     counts = count_ngrams(docs, text, label, orders, bits).persist()
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", orders: tuple[
         n[table["bucket"].to_numpy(), column] = table["n"].to_numpy()
     logp = np.log(n[:-1] + alpha) - np.log(n[:-1].sum(0) + alpha * (1 << bits))
     prior = np.array([r["n"] for r in documents], dtype=float)
-    return {"labels": labels, "logp": np.vstack([logp, np.zeros(len(labels))]), "prior": np.log(prior / prior.sum()) if labels else prior, "orders": orders, "bits": bits}
+    return {"labels": labels, "logp": np.ascontiguousarray(np.vstack([logp, np.zeros(len(labels))]).T), "prior": np.log(prior / prior.sum()) if labels else prior, "orders": orders, "bits": bits}
 
 
 def scores(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +150,9 @@ def scores(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         for h in found:
             inside = full[starts[full] < len(h)]
             if len(inside):
-                sums = np.add.reduceat(model["logp"][h], starts[inside], axis=0)
-                np.add.at(out, owner[inside], sums)
+                at, h = starts[inside], h.astype(np.intp)
+                for k, column in enumerate(model["logp"]):
+                    np.add.at(out[:, k], owner[inside], np.add.reduceat(column.take(h), at))
         np.add.at(seen, owner[full], np.diff(starts)[full])
     return out, seen
 
@@ -161,7 +162,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
 
     Null text, or text without a letter: ``und`` and 0.0, as where nothing was learned. Ties go to the label that sorts
     first. Repeated rows each get their own result; an empty table gives an empty one. The matrix is broadcast; texts are
-    scored batch by batch as a sparse product: the rows of the matrix at a text's buckets are added up.
+    scored batch by batch as a sparse product: for each label, its entries at a text's buckets are added up.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import bpe, langid, packing
 from .common import read
+from .tokens import word_bpe_path
 
 
 def op1_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id}
+def op8_bpe_codec(spark, sf_dir):
+    return bpe.digests(read(spark, sf_dir, "documents"), word_bpe_path())
+
+
+def op10_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op8_bpe_codec, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
