@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, packing
+from pyspark.sql import functions as F
+
+from . import bpe, langid, packing, simhash, substring
 from .common import read
 from .tokens import word_bpe_path
 
@@ -11,6 +13,17 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op2_simhash_dedup(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark, sf_dir):
+    """doc_id, the text that stays, and the removed spans as start:end in original code points."""
+    done = substring.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return done.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
+
+
 def op8_bpe_codec(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -19,5 +32,18 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op8_bpe_codec, op10_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op8_bpe_codec, op10_best_fit_packing)}
+ORACLE: dict[str, str] = {
+    "op3_substring_dedup": r"""
+    WITH lines AS (
+      SELECT doc_id, idx, line, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS unit
+      FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS idx FROM documents)),
+    placed AS (
+      SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+             length(unit) - length(replace(unit, ' ', '')) + 1 AS words FROM lines),
+    ranked AS (SELECT *, words >= 5 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, idx) > 1 AS gone FROM placed)
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY idx) FILTER (NOT gone), '') AS text,
+           count(*) FILTER (gone) AS n_removed,
+           coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start AS BIGINT) + length(line) AS VARCHAR), ',' ORDER BY start) FILTER (gone), '') AS removed
+    FROM ranked GROUP BY doc_id""",
+}
