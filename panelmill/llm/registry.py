@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, simhash, substring
+from . import bpe, langid, packing, simhash, substring, topk, urlfilter
 from .common import read
 from .tokens import word_bpe_path
 
@@ -24,6 +24,14 @@ def op3_substring_dedup(spark, sf_dir):
     return done.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
+def op5_url_filter(spark, sf_dir):
+    return urlfilter.judge(read(spark, sf_dir, "pages"))
+
+
+def op9_exact_top_k(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe_codec(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -32,8 +40,16 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op8_bpe_codec, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op5_url_filter, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {
+    "op5_url_filter": urlfilter.oracle(),
+    "op9_exact_top_k": """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op3_substring_dedup": r"""
     WITH lines AS (
       SELECT doc_id, idx, line, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS unit
