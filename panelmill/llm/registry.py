@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, simhash, substring, topk, urlfilter
+from . import bpe, langid, merkle, packing, simhash, substring, topk, urlfilter
 from .common import read
 from .tokens import word_bpe_path
 
@@ -28,6 +28,10 @@ def op5_url_filter(spark, sf_dir):
     return urlfilter.judge(read(spark, sf_dir, "pages"))
 
 
+def op7_merkle_fingerprint(spark, sf_dir):
+    return merkle.compare_edits(read(spark, sf_dir, "documents"))
+
+
 def op9_exact_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -40,7 +44,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op5_url_filter, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op5_url_filter, op7_merkle_fingerprint, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {
     "op5_url_filter": urlfilter.oracle(),
     "op9_exact_top_k": """
