@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, packing, simhash, substring, topk, urlfilter
+from . import bpe, langid, merkle, packing, pii, simhash, substring, topk, urlfilter
 from .common import read
 from .tokens import word_bpe_path
 
@@ -24,6 +24,14 @@ def op3_substring_dedup(spark, sf_dir):
     return done.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
+def op4_personal_data(spark, sf_dir):
+    """Counts, digest of the base matches, and all spans with those of disclosing terms."""
+    found = pii.detect(read(spark, sf_dir, "documents"))
+    kinds = F.lit(list(pii.KINDS))
+    spans = F.array_join(F.transform("all_spans", lambda s: F.concat_ws(":", F.element_at(kinds, s["rank"] + 1), s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+
+
 def op5_url_filter(spark, sf_dir):
     return urlfilter.judge(read(spark, sf_dir, "pages"))
 
@@ -44,7 +52,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op5_url_filter, op7_merkle_fingerprint, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op4_personal_data, op5_url_filter, op7_merkle_fingerprint, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {
     "op5_url_filter": urlfilter.oracle(),
     "op9_exact_top_k": """
