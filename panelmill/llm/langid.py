@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -157,34 +157,34 @@ def scores(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, seen
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with lang_pred (string) and score (posterior of that label, 0 to 1).
+def predict(docs: DataFrame, model: dict, text: str = "text", keep: Sequence[str] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with the label (string) and the score (its posterior, 0 to 1), called as ``out`` says.
 
     Null text, or text without a letter: ``und`` and 0.0, as where nothing was learned. Ties go to the label that sorts
     first. Repeated rows each get their own result; an empty table gives an empty one. The matrix is broadcast; texts are
     scored batch by batch as a sparse product: for each label, its entries at a text's buckets are added up.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, columns = [*keep, *out], list(dict.fromkeys([*keep, text]))
+    frame = docs.select(*[F.col(f"`{c}`") for c in columns])
+    at = columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch, 0, 4 << 20):
-                joint, seen = scores(m, [t or "" for t in part.column(0).to_pylist()])
+            for part in slices(batch, at, 4 << 20):
+                joint, seen = scores(m, [t or "" for t in part.column(at).to_pylist()])
                 if m["labels"]:
                     best = joint.argmax(1)
                     post = 1 / np.exp(joint - joint.max(1, keepdims=True)).sum(1)
-                    known = seen > 0
-                    names = [m["labels"][b] if k else "und" for b, k in zip(best, known)]
-                    post = np.where(known, post, 0.0)
+                    found = [m["labels"][b] if k else "und" for b, k in zip(best, seen > 0)]
+                    post = np.where(seen > 0, post, 0.0)
                 else:
-                    names, post = ["und"] * part.num_rows, np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(post, pa.float64())], names=out_names)
+                    found, post = ["und"] * part.num_rows, np.zeros(part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], pa.array(found, pa.string()), pa.array(post, pa.float64())], names=names)
 
-    frame = docs.select(F.col(text).cast("string").alias("__text"), *[F.col(c) for c in keep])
-    out_names = [*keep, "lang_pred", "score"]
-    kinds = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
-    return frame.mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
+    kinds = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in keep)
+    return frame.mapInArrow(run, f"{kinds}`{out[0]}` string, `{out[1]}` double")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -192,6 +192,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a language that the labelled rows teach: not ``und``."""
+    model = fit(docs.where(~held_out()))
+    return predict(docs, model, keep=docs.columns, out=("__lang_pred", "__score")).where("__lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from rows that are not held out only."""
     model = fit(docs.where(~held_out()))

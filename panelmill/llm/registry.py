@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, packing, pii, simhash, substring, topk, urlfilter
+from . import bpe, langid, merkle, packing, pii, simhash, substring, topk, urlfilter, wrapper
 from .common import read
 from .tokens import word_bpe_path
 
@@ -36,6 +37,10 @@ def op5_url_filter(spark, sf_dir):
     return urlfilter.judge(read(spark, sf_dir, "pages"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return wrapper.main_text(read(spark, sf_dir, "pages"))
+
+
 def op7_merkle_fingerprint(spark, sf_dir):
     return merkle.compare_edits(read(spark, sf_dir, "documents"))
 
@@ -52,7 +57,11 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op4_personal_data, op5_url_filter, op7_merkle_fingerprint, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing)}
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op4_personal_data, op5_url_filter, op6_html_extraction, op7_merkle_fingerprint, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing, pipeline)}
 ORACLE: dict[str, str] = {
     "op5_url_filter": urlfilter.oracle(),
     "op9_exact_top_k": """

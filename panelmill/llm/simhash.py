@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import shuffle_partitions, slices, texts_of
+from .common import doc_key, shuffle_partitions, slices, texts_of
 
 #: Fingerprints in a tile, the unit that is shipped, and in a block, the unit that is compared or skipped.
 TILE, BLOCK = 8192, 256
@@ -39,15 +39,15 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number; null and empty texts have 0."""
+    """doc_id, key (a digest of the text) and fp, the fingerprint as a signed 64-bit number; null and empty texts have 0."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 8 << 20):
-                fp = np.array([fingerprint(t, width, seed) for t in texts_of(part, 1)], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            for part in slices(batch, 2, 8 << 20):
+                fp = np.array([fingerprint(t, width, seed) for t in texts_of(part, 2)], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], names=["doc_id", "key", "fp"])
 
-    frame = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, fp long")
+    frame = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_key(F.col(text))).alias("key"), F.col(text).cast("string").alias("text"))
+    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, key long, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -195,6 +195,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, fp) of every row, and (fp, low, root): the smallest doc_id of each fingerprint and its component."""
+    marked = settle(fingerprints(docs, doc_id, text, width, seed))
+    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(distinct.select("fp"), radius))
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return marked, settle(named)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable over links of ``radius`` bits).
 
@@ -202,11 +211,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     forests, never as all pairs of a group. Null and empty texts have fingerprint zero and are linked like any other. A
     null doc_id gets the smallest id of its component, null where there is none. Every row has a result, repeated ones too.
     """
-    marked = settle(fingerprints(docs, doc_id, text, width, seed))
-    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = settle(named)
+    marked, named = _grouped(docs, doc_id, text, width, radius, seed)
     lowest = settle(named.groupBy("root").agg(F.min("low").alias("component_id")))   # written, so the join can split a hot root
     of = named.join(lowest, "root").select(F.col("fp").alias("__fp"), "component_id")
     return marked.join(of, marked["fp"] == of["__fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicates, all columns: the smallest doc_id (null last), then the smallest text digest."""
+    marked, named = _grouped(docs, doc_id, text, width, radius, seed)
+    of = named.select(F.col("fp").alias("__fp"), "root")
+    first = marked.join(of, marked["fp"] == of["__fp"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    stay = settle(first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__stay")))
+    keyed = docs.withColumn("__key", F.xxhash64(doc_key(F.col(text))))
+    kept = keyed.join(stay, keyed[doc_id].eqNullSafe(stay["__id"]) & (F.col("__key") == F.col("__stay")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__key"]).drop("__key")
