@@ -16,8 +16,15 @@ from .common import EVENTS_HOUR, MONTH_SERIES, NATION_ALIGNED, NATION_MONTH, que
 
 
 @query("s1_read_table", "o_orderstatus:s n:i total:2", """
-SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
+SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1""")
 def s1(spark, sf):
+    return read_table(spark, f"{sf}/orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+
+
+@query("s1_read_table_filtered", "o_orderstatus:s n:i total:2", """
+SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY 1""")
+def s1b(spark, sf):
+    """The filter reaches the scan."""
     df = read_table(spark, f"{sf}/orders")
     return df.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp")).groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))

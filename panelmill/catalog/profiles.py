@@ -84,7 +84,7 @@ def d6(spark, sf):
     return G.correlation_matrix(line_rows(spark, sf), FEATS)
 
 
-DIMS = 16
+DIMS = 64   # of the vectors in embeddings
 WIDE = " UNION ALL ".join(f"SELECT 'e{a}' AS var1, 'e{b}' AS var2, corr(e{a}, e{b}) AS correlation FROM ev" for a in range(DIMS) for b in range(DIMS))
 
 

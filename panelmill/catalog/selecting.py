@@ -198,7 +198,7 @@ def r4(spark, sf):
 
 @query("r5_exhaustive_select", "features:s n_features:i mean_score:6 std_score:6 selected:b")
 def r5(spark, sf):
-    out = R.exhaustive_select(line_rows(spark, sf), LINE_FEATURES, "target", 1, 3)
+    out = R.exhaustive_select(line_rows(spark, sf), LINE_FEATURES, "target")
     return out.withColumn("features", F.concat_ws(",", "features"))
 
 

@@ -71,13 +71,14 @@ def importance_by_season(df: DataFrame, features: Sequence[str], period: str = "
     return _shares(attribution_long(tagged, features, ["quarter"], prefix), ["quarter"], min_rows)
 
 
-def season_pivot(by_season: DataFrame, top: int = 10) -> DataFrame:
-    """Feature × quarter matrix of the features with the largest mean importance."""
+def season_pivot(by_season: DataFrame, top: int | None = None) -> DataFrame:
+    """Feature × quarter matrix by falling mean importance (of the ``top`` features if given)."""
     wide = by_season.groupBy("feature").pivot("quarter", ["Q1", "Q2", "Q3", "Q4"]).agg(F.first("importance"))
     filled = wide.select("feature", *[F.col(q) for q in ("Q1", "Q2", "Q3", "Q4")])
     mean = sum((F.coalesce(F.col(q), F.lit(0.0)) for q in ("Q1", "Q2", "Q3", "Q4")), F.lit(0.0)) / F.greatest(
         F.lit(1), sum((F.col(q).isNotNull().cast("int") for q in ("Q1", "Q2", "Q3", "Q4")), F.lit(0)))
-    return filled.withColumn("mean", mean).orderBy(F.desc("mean"), "feature").limit(top)
+    ordered = filled.withColumn("mean", mean).orderBy(F.desc("mean"), "feature")
+    return ordered if top is None else ordered.limit(top)
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], target: str, fit: DataFrame, repeats: int = 10, seed: int = 42) -> DataFrame:

@@ -158,15 +158,11 @@ def sequential_select(df: DataFrame, features: Sequence[str], target: str, keep:
 
 
 def exhaustive_select(df: DataFrame, features: Sequence[str], target: str, low: int = 1, high: int = 5, cv: int = 5, alpha: float = 1.0,
-                      standardize: bool = False, limit: int = 15, engine: str = "auto") -> DataFrame:
-    """All subsets of size low..high scored in one pass; over ``limit`` features the most correlated ones enter."""
+                      standardize: bool = False, engine: str = "auto") -> DataFrame:
+    """All subsets of size low..high of all features, scored in one pass."""
     model = RidgeCV(df, features, target, cv, alpha, standardize, engine)
     p = len(model.features)
-    pool = list(range(p))
-    if p > limit:
-        r = np.abs(model.total.corr()[:p, p])
-        pool = sorted(np.argsort(-r, kind="stable")[:limit].tolist())
-    subsets = [c for size in range(low, min(high, len(pool)) + 1) for c in combinations(pool, size)]
+    subsets = [c for size in range(low, min(high, p) + 1) for c in combinations(range(p), size)]
     s = model.scores(subsets)
     model.close()
     rows = [([model.features[i] for i in c], len(c), -float(s["mean_mae"][k]), float(s["std_mae"][k])) for k, c in enumerate(subsets)]

@@ -13,13 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
-# The last month of orders holds a single day, so panels end before it.
-LAST_MONTH = "2001-08-01"
-LAST_QUARTER = "2001-07-01"
-
-
-def orders_by_nation(spark: SparkSession, sf_dir: str, until: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(until).cast("timestamp"))
+def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation")
     return (orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
@@ -29,15 +24,15 @@ def orders_by_nation(spark: SparkSession, sf_dir: str, until: str) -> DataFrame:
 
 
 def region_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revenue per region and quarter; complete at every scale."""
+    """Revenue per region and quarter of all orders."""
     region = table(spark, sf_dir, "region")
-    facts = orders_by_nation(spark, sf_dir, LAST_QUARTER).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    facts = orders_by_nation(spark, sf_dir).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return to_period(facts, "o_orderdate", ["r_name"], {"y": F.sum("o_totalprice")}, "quarter")
 
 
 def nation_panel(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
     """Revenue, orders and mean price per nation and period (may have gaps)."""
-    facts = orders_by_nation(spark, sf_dir, LAST_MONTH if grain == "month" else LAST_QUARTER)
+    facts = orders_by_nation(spark, sf_dir)
     return to_period(facts, "o_orderdate", ["n_name"], {
         "y": F.sum("o_totalprice"), "n_orders": F.count(F.lit(1)).cast("double"),
         "avg_price": F.avg("o_totalprice")}, grain)
@@ -49,7 +44,7 @@ def nation_aligned(spark: SparkSession, sf_dir: str, grain: str = "month") -> Da
 
 def month_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One keyless monthly series with four variables."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate") < F.lit(LAST_MONTH).cast("timestamp"))
+    orders = table(spark, sf_dir, "orders")
     # distinct customers per month through a pre-aggregation: no wide distinct set in one task
     month = F.to_date(F.date_trunc("month", "o_orderdate"))
     per_customer = orders.groupBy(month.alias("period"), "o_custkey").agg(

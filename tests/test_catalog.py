@@ -36,7 +36,7 @@ def test_every_oracle_has_a_query():
 
 
 def test_scans_are_pruned(spark):
-    plan = QUERIES["s1_read_table"](spark, f"{DATA}/{SF}")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    plan = QUERIES["s1_read_table_filtered"](spark, f"{DATA}/{SF}")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in plan
     assert "o_custkey" not in plan.split("ReadSchema")[1].splitlines()[0]
 
