@@ -133,7 +133,7 @@ def q8(spark, sf):
     return line.unionByName(Q.describe_numeric(holes(spark, sf), ["price"]))
 
 
-@query("q9_quality_report", "section:s variable:s metric:s value:3", f"""
+@query("q9_quality_report", "section:s variable:s metric:s value:5", f"""
 WITH {MONTH_SERIES}, lg AS ({' UNION ALL '.join(f"SELECT '{c}' AS variable, {c} AS value FROM ms" for c in ('y', 'n_orders', 'n_cust', 'avg_price'))}), {BOUNDS},
 mi AS (SELECT variable, count(*) - count(value) AS missing_count, (count(*) - count(value))*100.0/count(*) AS missing_pct FROM lg GROUP BY 1),
 co AS (SELECT variable, max(n)*1.0/sum(n) AS mode_share, CASE WHEN max(n)*1.0/sum(n) >= .99 THEN 1.0 ELSE 0.0 END AS is_constant FROM (SELECT variable, value, count(*) AS n FROM lg GROUP BY 1,2) GROUP BY 1),
