@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, packing, pii, simhash, substring, topk, urlfilter, wrapper
+from . import bpe, dualtree, langid, merkle, negatives, packing, pii, simhash, substring, topk, toxicity, urlfilter, wrapper
 from .common import read
 from .tokens import word_bpe_path
 
@@ -57,12 +57,26 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.mine(negatives.relabelled(read(spark, sf_dir, "embeddings")))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return dualtree.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op4_personal_data, op5_url_filter, op6_html_extraction, op7_merkle_fingerprint, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash_dedup, op3_substring_dedup, op4_personal_data, op5_url_filter, op6_html_extraction, op7_merkle_fingerprint, op8_bpe_codec, op9_exact_top_k, op10_best_fit_packing, op11_hard_negatives, op12_ranked_search, op13_toxicity, pipeline)}
 ORACLE: dict[str, str] = {
+    "op11_hard_negatives": negatives.ORACLE,
+    "op12_ranked_search": dualtree.ORACLE,
     "op5_url_filter": urlfilter.oracle(),
     "op9_exact_top_k": """
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings

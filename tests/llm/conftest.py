@@ -53,12 +53,28 @@ def edge_embeddings(spark):
     return rows.unionByName(more).unionByName(ties).withColumn("v", F.lit("clash")).withColumn("cb", F.lit(1))
 
 
+def edge_benchmark(spark):
+    """Items with edge rows: null, empty, without a term, repeated, one id with two texts, and a term many times."""
+    items = spark.read.parquet(f"{DATA}/sf0.001/benchmark.parquet")
+    more = [(9001, None), (9002, ""), (9003, "?! .."), (9004, SHARED), (9004, SHARED), (9005, "the the The THE\u00c4 the"), (None, "alpha beta gamma"), (9006, "w1und zzzz-nowhere")]
+    return items.unionByName(spark.createDataFrame(more, items.schema)).withColumn("terms", F.lit("clash")).withColumn("item", F.lit(1))
+
+
+def edge_labels(spark):
+    labels = spark.read.parquet(f"{DATA}/sf0.001/labels.parquet")
+    more = [(9002, 1, 1), (9005, 0, 0), (9007, 1, None), (9007, 0, 1), (9007, 0, 1), (None, 1, 1), (99_999, 1, 1)]
+    return labels.unionByName(spark.createDataFrame(more, labels.schema)).withColumn("text", F.lit("clash")).withColumn("y", F.lit(1)).withColumn("shard", F.lit(1))
+
+
+TABLES = ("documents", "pages", "embeddings", "benchmark", "labels")
+
+
 @pytest.fixture(scope="package")
 def folder(spark, tmp_path_factory):
     """A folder of tables as the registered queries read them."""
     ship(spark)
     out = str(tmp_path_factory.mktemp("corpus"))
-    for name, make in (("documents", edge_documents), ("pages", edge_pages), ("embeddings", edge_embeddings)):
+    for name, make in zip(TABLES, (edge_documents, edge_pages, edge_embeddings, edge_benchmark, edge_labels)):
         make(spark).coalesce(2).write.parquet(f"{out}/{name}.parquet")
     return out
 
@@ -67,7 +83,7 @@ def folder(spark, tmp_path_factory):
 def empty_folder(spark, folder, tmp_path_factory):
     """The same tables without a row."""
     out = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "pages", "embeddings"):
+    for name in TABLES:
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{out}/{name}.parquet")
     return out
 

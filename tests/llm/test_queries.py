@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from panelmill.llm import merkle, registry
 from panelmill.llm.tokens import word_bpe_path
+from tests.llm.conftest import TABLES
 from tests.oracle import compare
 
 BASE = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -34,7 +35,7 @@ def bag(rows):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_against_sql(spark, folder, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in TABLES:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet/*.parquet')")
     if name == "op3_substring_dedup":   # the SQL groups by id: rows of one id, or without one, are tested below
         con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT DISTINCT doc_id, text FROM read_parquet('{folder}/documents.parquet/*.parquet') WHERE doc_id IS NOT NULL AND doc_id <> 9011")
