@@ -18,9 +18,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive pieces of a batch whose texts hold about ``limit`` bytes (one row at least)."""
-    sizes = pc.binary_length(batch.column(column)).to_pylist()
+def slices(batch: pa.RecordBatch, column: int, limit: int, field: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Consecutive pieces of a batch whose texts hold about ``limit`` bytes (one row at least); texts may be a struct's field."""
+    texts = batch.column(column)
+    sizes = pc.binary_length(texts if field is None else texts.field(field)).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + (n or 0) > limit:
@@ -39,3 +40,19 @@ def texts_of(batch: pa.RecordBatch, column: int = 0) -> list[bytes]:
 def doc_key(text: Column) -> Column:
     """Digest that tells rows of the same id apart; null and empty texts differ."""
     return F.coalesce(F.md5(text), F.lit("null"))
+
+
+def nest(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct ``row``, beside new columns that so cannot clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unnest(nested: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """Columns of the struct ``row`` again, and ``more`` beside them."""
+    return nested.select(*[F.col("row").getField(c).alias(c) for c in columns], *more)
+
+
+def with_text(row: pa.StructArray, at: int, texts: list[str | None]) -> pa.StructArray:
+    """The struct array with new values in the column at place ``at``."""
+    parts = [pa.array(texts, f.type) if i == at else row.field(i) for i, f in enumerate(row.type)]
+    return pa.StructArray.from_arrays(parts, fields=list(row.type))

@@ -85,16 +85,5 @@ ORACLE: dict[str, str] = {
           FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
     FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
-    "op3_substring_dedup": r"""
-    WITH lines AS (
-      SELECT doc_id, idx, line, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS unit
-      FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS idx FROM documents)),
-    placed AS (
-      SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-             length(unit) - length(replace(unit, ' ', '')) + 1 AS words FROM lines),
-    ranked AS (SELECT *, words >= 5 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, idx) > 1 AS gone FROM placed)
-    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY idx) FILTER (NOT gone), '') AS text,
-           count(*) FILTER (gone) AS n_removed,
-           coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start AS BIGINT) + length(line) AS VARCHAR), ',' ORDER BY start) FILTER (gone), '') AS removed
-    FROM ranked GROUP BY doc_id""",
+    "op3_substring_dedup": substring.ORACLE,
 }

@@ -1,47 +1,71 @@
-"""Substring deduplication by hashed lines: the earliest occurrence of a line stays in the corpus, the rest go."""
+"""Substring deduplication by hashed sentences and lines: the earliest place of a passage stays in the corpus, the rest go."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import doc_key, slices
+from .common import doc_key, nest, slices, unnest, with_text
 
-_SPACE = re.compile(r"\s+")
+#: Characters that end a fragment of a text: sentences and lines.
+BOUNDARY = ".!?\n"
+_SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
-def units_of(text: str, separator: str = "\n") -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) of each unit: code points without the separator; lower case, white space as one blank."""
-    at = 0
-    for unit in text.split(separator):
-        yield at, at + len(unit), _SPACE.sub(" ", unit).strip().lower()
-        at += len(unit) + len(separator)
+def fragments(text: str, boundary: str = BOUNDARY) -> list[str]:
+    """The whole text in order: each fragment runs to the end of the next run of boundary characters."""
+    b = re.escape(boundary)
+    return re.findall(f"[^{b}]*[{b}]+|[^{b}]+", text)
 
 
-def unit_digests(docs: DataFrame, doc_id: str, text: str, separator: str, min_words: int) -> DataFrame:
-    """(doc_id, key, start, end, h1, h2) of every unit of ``min_words`` words or more; h1 and h2 are its 128-bit digest."""
+def units_of(text: str, boundary: str = BOUNDARY, min_words: int = 8) -> Iterator[tuple[int, int, bytes]]:
+    """(start, end, normalised text) in code points of each unit.
+
+    A unit starts at every fragment that has a word and takes in the following ones until it has ``min_words`` words, so
+    that units overlap and a passage has the same ones wherever it stands. Normalised: A-Z in lower case, runs of ASCII
+    white space as one blank. Fragments that are too few up to the end of the text make no unit.
+    """
+    at, place, words = 0, [], []
+    for f in fragments(text, boundary):
+        w = f.encode().lower().split()
+        if w:
+            place.append((at, at + len(f)))
+            words.append(w)
+        at += len(f)
+    j = held = 0
+    for i in range(len(words)):
+        while held < min_words and j < len(words):
+            held += len(words[j])
+            j += 1
+        if held < min_words:
+            return
+        yield place[i][0], place[j - 1][1], b" ".join([x for w in words[i:j] for x in w])
+        held -= len(words[i])
+
+
+def unit_digests(docs: DataFrame, doc_id: str, text: str, boundary: str, min_words: int) -> DataFrame:
+    """(doc_id, key, start, end, h1, h2) of every unit; h1 and h2 are its 128-bit digest, ``key`` tells texts of one id apart."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2, 4 << 20):
+            for part in slices(batch, 2, 2 << 20):
                 row, start, end, digest = [], [], [], []
                 for i, t in enumerate(part.column(2).to_pylist()):
-                    for a, b, unit in units_of(t or "", separator):
-                        if unit.count(" ") + 1 >= min_words and unit:
-                            row.append(i)
-                            start.append(a)
-                            end.append(b)
-                            digest.append(xxhash.xxh3_128_intdigest(unit.encode()))
-                low = [(d & (1 << 64) - 1) - (1 << 63) for d in digest]
-                high = [(d >> 64) - (1 << 63) for d in digest]
+                    for a, b, unit in units_of(t or "", boundary, min_words):
+                        row.append(i)
+                        start.append(a)
+                        end.append(b)
+                        digest.append(xxhash.xxh3_128_digest(unit))
+                halves = np.frombuffer(b"".join(digest), dtype=">i8").reshape(-1, 2).astype(np.int64)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64())],
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
                     names=["doc_id", "key", "start", "end", "h1", "h2"])
 
     frame = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_key(F.col(text))).alias("key"), F.col(text).cast("string").alias("text"))
@@ -49,7 +73,7 @@ def unit_digests(docs: DataFrame, doc_id: str, text: str, separator: str, min_wo
     return frame.mapInArrow(run, f"doc_id {kind}, key long, start long, end long, h1 long, h2 long")
 
 
-def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = "\n", min_words: int = 5) -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", boundary: str = BOUNDARY, min_words: int = 8) -> DataFrame:
     """(doc_id, key, spans): for each document with any, the spans (start, end) of units that an earlier ranked place has.
 
     Rank is by doc_id (null first), then the text's digest ``key``, then start; rows of equal id and text are one place.
@@ -57,7 +81,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separa
     so a line that every document has is one row a task. Only digests that repeat meet the units again, in a join of two
     written tables whose hot keys AQE can split.
     """
-    units = settle(unit_digests(docs, doc_id, text, separator, min_words))
+    units = settle(unit_digests(docs, doc_id, text, boundary, min_words))
     place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "key", "start")
     first = settle(units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
                    .select("h1", "h2", F.col("first.doc_id").alias("f_doc"), F.col("first.key").alias("f_key"), F.col("first.start").alias("f_start")))
@@ -65,32 +89,82 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separa
     return again.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-def without(text: str, spans: list[tuple[int, int]], separator: str = "\n") -> str:
-    """The text without the units at ``spans``, the others joined as before."""
-    gone = {a for a, _ in spans}
-    return separator.join(text[a:b] for a, b, _ in units_of(text, separator) if a not in gone)
+def runs_of(text: str, spans: Iterable[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
+    """Spans (ascending) that overlap or touch, joined; those of ``min_run`` words."""
+    joined: list[list[int]] = []
+    for a, b in spans:
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    return [(a, b) for a, b in joined if len(text[a:b].encode().split()) >= min_run]
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = "\n", min_words: int = 5) -> DataFrame:
-    """All columns of ``docs`` with the text cut, and the column ``removed``: spans (start, end) in the original code points.
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the characters of ``spans``."""
+    out, done = [], 0
+    for a, b in spans:
+        out.append(text[done:a])
+        done = b
+    return "".join([*out, text[done:]])
 
-    A unit is a line (separator "\\n") or paragraph ("\\n\\n") of ``min_words`` words or more; shorter ones, which repeat by
-    chance, stay. A document whose every unit goes keeps its row with an empty text. Null text stays null; its and an empty
-    text's ``removed`` is empty. Repeated lines inside a document go as well. Columns of ``docs`` that are called like
-    columns used here do not matter; ``removed`` is replaced.
-    """
-    columns = [c for c in docs.columns if c != "removed"]
-    gone = removals(docs, doc_id, text, separator, min_words).withColumnsRenamed({"doc_id": "__id", "key": "__key", "spans": "__spans"})
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(doc_key(F.col(text))).alias("__own"))
-    met = keyed.join(gone, keyed[doc_id].eqNullSafe(gone["__id"]) & (F.col("__own") == F.col("__key")), "left").select(
-        *[keyed[f"`{c}`"] for c in columns], F.coalesce("__spans", F.expr("array()").cast("array<struct<start: bigint, end: bigint>>")).alias("removed"))
-    at = columns.index(text)
+
+def _cut(docs: DataFrame, doc_id: str, text: str, boundary: str, min_words: int, min_run: int) -> DataFrame:
+    """(row, removed): all columns of each row in one struct, its text cut, and the spans that went."""
+    found = repeats(docs, doc_id, text, boundary, min_words).withColumnsRenamed({"doc_id": "id", "key": "of"})
+    keyed = nest(docs, own=F.xxhash64(doc_key(F.col(text))))
+    met = keyed.join(found, keyed["row"][doc_id].eqNullSafe(found["id"]) & (F.col("own") == F.col("of")), "left").select("row", F.coalesce("spans", F.expr("array()").cast(_SPANS)).alias("removed"))
+    at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at, 4 << 20):
-                cut = [without(t, [(s["start"], s["end"]) for s in spans], separator) if t and spans else t
-                       for t, spans in zip(part.column(at).to_pylist(), part.column(len(columns)).to_pylist())]
-                yield part.set_column(at, part.schema.field(at), pa.array(cut, part.schema.field(at).type))
+            for part in slices(batch, 0, 4 << 20, at):
+                texts, spans = part.column(0).field(at).to_pylist(), part.column(1).to_pylist()
+                gone = [runs_of(t, [(s["start"], s["end"]) for s in ss], min_run) if t and ss else [] for t, ss in zip(texts, spans)]
+                cut = [without(t, g) if g else t for t, g in zip(texts, gone)]
+                removed = pa.array([[{"start": a, "end": b} for a, b in g] for g in gone], part.schema.field(1).type)
+                yield pa.RecordBatch.from_arrays([with_text(part.column(0), at, cut), removed], schema=part.schema)
 
     return met.mapInArrow(run, met.schema)
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", boundary: str = BOUNDARY, min_words: int = 8, min_run: int = 30) -> DataFrame:
+    """All columns of ``docs`` with the text cut, and the column ``removed``: spans (start, end) in the original code points.
+
+    Units of ``min_words`` words or more, from each sentence or line on, are hashed; one that an earlier place in the
+    corpus has is repeated. Repeated units that overlap or touch are one run, and a run goes if it has ``min_run`` words:
+    shorter ones, which repeat by chance or are a line of boilerplate, stay. A passage inside other sentences loses all but
+    the sentences at its ends that it shares with its surroundings. ``boundary`` "\\n" gives lines alone. A document whose
+    every unit goes keeps its row with an empty text. Null text stays null; its and an empty text's ``removed`` is empty.
+    Runs that repeat inside a document go as well. A column ``removed`` of ``docs`` is replaced, others do not matter.
+    """
+    done = _cut(docs, doc_id, text, boundary, min_words, min_run)
+    return unnest(done, [c for c in docs.columns if c != "removed"], "removed")
+
+
+def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", boundary: str = BOUNDARY, min_words: int = 8, min_run: int = 30) -> DataFrame:
+    """``deduplicate`` with the columns of ``docs`` only, all others than the text as they were."""
+    return unnest(_cut(docs, doc_id, text, boundary, min_words, min_run), docs.columns)
+
+
+ORACLE = r"""
+    WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+')) AS frag,
+                      generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+|[^.!?\n]+'), 1) AS idx FROM documents),
+    w AS (SELECT *, list_filter(regexp_split_to_array(translate(frag, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws FROM f),
+    c AS (SELECT doc_id, idx, frag, CAST(len(ws) AS BIGINT) AS n, CAST(sum(len(ws)) OVER before_and_this AS BIGINT) AS c,
+                 CAST(sum(length(frag)) OVER before_and_this AS BIGINT) - length(frag) AS start
+          FROM w WINDOW before_and_this AS (PARTITION BY doc_id ORDER BY idx)),
+    d AS (SELECT doc_id, flatten(list(ws ORDER BY idx)) AS words FROM w GROUP BY doc_id),
+    u AS (SELECT doc_id, idx, c, n, min(idx) OVER (PARTITION BY doc_id ORDER BY c RANGE BETWEEN greatest(8 - n, 0) FOLLOWING AND UNBOUNDED FOLLOWING) AS j FROM c),
+    h AS (SELECT u.doc_id, u.idx AS i, u.j, array_to_string(d.words[u.c - u.n + 1 : e.c], ' ') AS unit
+          FROM u JOIN c AS e ON e.doc_id = u.doc_id AND e.idx = u.j JOIN d ON d.doc_id = u.doc_id WHERE u.n > 0),
+    again AS (SELECT doc_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, i) AS r FROM h) WHERE r > 1),
+    opened AS (SELECT *, i > coalesce(max(j) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS new FROM again),
+    grouped AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM opened),
+    run AS (SELECT doc_id, min(i) AS i, max(j) AS j FROM grouped GROUP BY doc_id, g),
+    gone AS (SELECT run.doc_id, run.i, run.j, a.start AS a, b.start + length(b.frag) AS b
+             FROM run JOIN c a ON a.doc_id = run.doc_id AND a.idx = run.i JOIN c b ON b.doc_id = run.doc_id AND b.idx = run.j WHERE b.c - a.c + a.n >= 30),
+    spans AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(a AS VARCHAR) || ':' || CAST(b AS VARCHAR), ',' ORDER BY a) AS removed FROM gone GROUP BY doc_id),
+    kept AS (SELECT c.doc_id, string_agg(c.frag, '' ORDER BY c.idx) AS text FROM c LEFT JOIN gone ON gone.doc_id = c.doc_id AND c.idx BETWEEN gone.i AND gone.j WHERE gone.i IS NULL GROUP BY c.doc_id)
+    SELECT doc_id, coalesce(kept.text, '') AS text, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+    FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)"""

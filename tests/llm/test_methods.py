@@ -64,17 +64,60 @@ def test_group_of_copies_is_one_node(spark):
     assert simhash.representatives(docs).where("doc_id % 3 = 0").count() == 1
 
 
-def test_spans_cut_the_original(spark):
-    docs = spark.createDataFrame([(1, "a b c d e\nshort\nx y z u v"), (2, "A  B c d E\nshort\nnew words in this line"), (3, None), (4, "")], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in substring.deduplicate(docs).collect()}
-    assert rows[1]["text"] == "a b c d e\nshort\nx y z u v" and rows[1]["removed"] == []
-    assert rows[2]["text"] == "short\nnew words in this line" and [tuple(s) for s in rows[2]["removed"]] == [(0, 10)]
-    assert rows[3]["text"] is None and rows[4]["text"] == ""
-
-
-def test_paragraphs(spark):
-    docs = spark.createDataFrame([(1, "one two three four five\nsix\n\nend"), (2, "begin\n\nOne two three four five\nsix")], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in substring.deduplicate(docs, separator="\n\n").collect()}[2] == "begin"
+def test_passage_inside_other_sentences(spark):
+    """The same passage in the middle of three texts: the first place stays, the others lose all but the sentences they share."""
+    words = [f"w{i}" for i in range(70)]
+    passage = " ".join(w + ("." if i % 9 == 8 else "") for i, w in enumerate(words)) + "."
+    line = "A line of boilerplate that every page has at its end"
+    rows = [(i, f"Some {x} words before {passage} and {x} words after. The end.\n{line}\n{line} {x}") for i, x in ((1, "red"), (2, "blue"), (3, "green"))]
+    rows += [(4, None), (5, ""), (6, passage.upper() + " " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("clash")).withColumn("spans", F.lit(1))
+    got = {r["doc_id"]: r for r in substring.deduplicate(docs).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["removed"] == []
+    for i in (2, 3):
+        (span,) = got[i]["removed"]
+        text = rows[i - 1][1]
+        assert got[i]["text"] == text[:span["start"]] + text[span["end"]:]
+        gone = text[span["start"]:span["end"]].split()
+        assert gone[0] == "w9" and gone[-1] == "w62." and line in got[i]["text"]
+    assert got[4]["text"] is None and got[4]["removed"] == [] and got[5]["text"] == ""
+    ends = [" ".join(words[:9]) + ".", " ".join(words[63:]) + "."]   # of other units than in 1 to 3
+    assert got[6]["text"].split() == " ".join([*ends, ends[1]]).replace("w", "W", 16).split()
+    stage = {r["doc_id"]: r for r in substring.cut_texts(docs).collect()}
+    assert all(stage[i]["text"] == got[i]["text"] and stage[i]["removed"] == "clash" and stage[i]["spans"] == 1 for i in got)
+
+
+def test_lines_alone(spark):
+    docs = spark.createDataFrame([(1, "one two. three four five\nsix"), (2, "begin\nOne  two. three FOUR five\nend")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in substring.deduplicate(docs, boundary="\n", min_words=5, min_run=5).collect()}[2] == "begin\nend"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_units_and_runs(seed):
+    """Units against windows counted one by one; every repeated run that goes is found earlier."""
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["ab ", "C. ", "d, ", "..", "\n", " ", "é! ", "\u00a0x "]) for _ in range(300))
+    parts = substring.fragments(text)
+    assert "".join(parts) == text
+    want, at = [], 0
+    for i, p in enumerate(parts):
+        own = [q.encode().lower().split() for q in parts[i:]]
+        for j in range(len(own)):
+            if own[0] and sum(map(len, own[:j + 1])) >= 8:
+                want.append((at, at + sum(map(len, parts[i:i + j + 1])), b" ".join(w for ws in own[:j + 1] for w in ws)))
+                break
+        at += len(p)
+    assert list(substring.units_of(text)) == want and want
+
+
+def test_special_tokens_in_either_case():
+    """A special token is one only in its own case; words around it, and texts beside it, are as the library has them."""
+    enc = encoder(word_bpe_path())
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "<|EndOfText|>", "<|startoftext|>X<|STARTOFTEXT|>", "Stop. Word, word.. x…, e.\nÉté, ça. ", "", "It's, 1.5. <| END."]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode([t.encode() for t in texts]) == want
+    assert [enc.encode([t.encode()])[0] for t in texts] == want
+    assert 49407 in np.frombuffer(want[0], "<u4") and 49407 not in np.frombuffer(want[1], "<u4")
 
 
 def test_disclosing_terms_are_found(spark):
