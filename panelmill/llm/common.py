@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,3 +56,24 @@ def with_text(row: pa.StructArray, at: int, texts: list[str | None]) -> pa.Struc
     """The struct array with new values in the column at place ``at``."""
     parts = [pa.array(texts, f.type) if i == at else row.field(i) for i, f in enumerate(row.type)]
     return pa.StructArray.from_arrays(parts, fields=list(row.type))
+
+
+def maybe_in(rows: DataFrame, mark: str, members: DataFrame, bits: int = 24) -> DataFrame:
+    """``rows`` with the column ``maybe``: false only where the hash ``mark`` (long) is not among those of ``members``.
+
+    The members' hashes set bits in a table of 2**bits bits, 2 MB, which Spark builds in pieces of 4 KB and broadcasts; as
+    members grow more rows are marked in vain, never fewer than there should be.
+    """
+    slot = F.pmod(F.col(mark), F.lit(1 << bits))
+    table = members.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bitmap"))
+    met = rows.withColumn("slot", slot).withColumn("at", F.expr("bitmap_bit_position(slot)")).join(F.broadcast(table), F.expr("bitmap_bucket_number(slot)") == F.col("bucket"), "left")
+    bit = F.expr("coalesce(shiftright(cast(conv(hex(substring(bitmap, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) % 2 = 1, false)")
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], bit.alias("maybe"))
+
+
+def fresh(columns: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores as it takes to be none of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fresh, slices
 
 #: Letters are taken in pieces of this many code points, cut between words.
 PIECE = 1 << 20
@@ -192,10 +192,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def in_a_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a language that the labelled rows teach: not ``und``."""
+def in_a_language(docs: DataFrame, languages: Sequence[str] | None = None, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, whose predicted language is one of ``languages`` (None: any that the
+    labelled rows teach) with a score of ``min_score`` or more.
+
+    A text that is null or has no letter has no language (``und``) and goes, as does one that is as likely to be in
+    another language. Rows of equal text share their fate; an empty table stays empty.
+    """
     model = fit(docs.where(~held_out()))
-    return predict(docs, model, keep=docs.columns, out=("__lang_pred", "__score")).where("__lang_pred <> 'und'").select(*[F.col(f"`{c}`") for c in docs.columns])
+    label, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "score")
+    wanted = F.col(label) != "und" if languages is None else F.col(label).isin(*languages)
+    return predict(docs, model, keep=docs.columns, out=(label, score)).where(wanted & (F.col(score) >= min_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def identify(docs: DataFrame) -> DataFrame:

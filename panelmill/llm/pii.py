@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import doc_key, slices
+from .common import doc_key, nest, slices, unnest, with_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -209,23 +209,22 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
     """All columns of ``docs`` with personal data generalised to their kind: ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]``, ``[TERM]``.
 
-    Base matches are found again where the row lies; only spans of disclosing terms are joined, from a written table whose
+    Other columns are handed back as they were; null text stays null, an empty table empty. Base matches are found again where the row lies; only spans of disclosing terms are joined, from a written table whose
     size Spark checks before it decides whether whole texts must be shuffled.
     """
-    columns = docs.columns
     terms = settle(term_spans(docs, settle(scan(docs, doc_id, text)), text, threshold, support))
-    keyed = docs.withColumn("__own", F.xxhash64(doc_key(F.col(text))))
-    met = keyed.join(terms, keyed[doc_id].eqNullSafe(terms["__id"]) & (F.col("__own") == F.col("__key")), "left").select(*[keyed[f"`{c}`"] for c in columns], "__terms")
-    at = columns.index(text)
+    keyed = nest(docs, own=F.xxhash64(doc_key(F.col(text))))
+    met = keyed.join(terms, keyed["row"][doc_id].eqNullSafe(terms["__id"]) & (F.col("own") == F.col("__key")), "left").select("row", "__terms")
+    at = docs.columns.index(text)
 
     def clean(t: str, terms: list[dict] | None) -> str:
         return redact(t, sorted([(a, k, b) for a, b, k in base_spans(t)] + [(s["start"], s["rank"], s["end"]) for s in terms or ()]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at, 4 << 20):
-                cut = [clean(t, terms) if t else t for t, terms in zip(part.column(at).to_pylist(), part.column(len(columns)).to_pylist())]
-                kept = part.set_column(at, part.schema.field(at), pa.array(cut, part.schema.field(at).type))
-                yield kept.select(list(range(len(columns))))
+            for part in slices(batch, 0, 4 << 20, at):
+                row = part.column(0)
+                cut = [clean(t, terms) if t else t for t, terms in zip(row.field(at).to_pylist(), part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([with_text(row, at, cut)], names=["row"])
 
-    return met.mapInArrow(run, docs.schema)
+    return unnest(met.mapInArrow(run, met.select("row").schema), docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import doc_key, shuffle_partitions, slices, texts_of
+from .common import doc_key, nest, shuffle_partitions, slices, texts_of, unnest
 
 #: Fingerprints in a tile, the unit that is shipped, and in a block, the unit that is compared or skipped.
 TILE, BLOCK = 8192, 256
@@ -218,11 +218,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """One row of each group of near-duplicates, all columns: the smallest doc_id (null last), then the smallest text digest."""
+    """One row of each group of near-duplicates, all columns as they were: the smallest doc_id (null last), then the smallest
+    text digest; of several rows with that id and text the smallest by all columns in their order. An empty table stays
+    empty; null and empty texts are one group."""
     marked, named = _grouped(docs, doc_id, text, width, radius, seed)
     of = named.select(F.col("fp").alias("__fp"), "root")
     first = marked.join(of, marked["fp"] == of["__fp"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    stay = settle(first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__stay")))
-    keyed = docs.withColumn("__key", F.xxhash64(doc_key(F.col(text))))
-    kept = keyed.join(stay, keyed[doc_id].eqNullSafe(stay["__id"]) & (F.col("__key") == F.col("__stay")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__key"]).drop("__key")
+    stay = settle(first.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("stay")))
+    keyed = nest(docs, own=F.xxhash64(doc_key(F.col(text))))
+    kept = keyed.join(stay, keyed["row"][doc_id].eqNullSafe(stay["id"]) & (F.col("own") == F.col("stay")), "left_semi")
+    return unnest(kept.groupBy(F.col("row")[doc_id].alias("id"), "own").agg(F.min("row").alias("row")), docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import doc_key, nest, slices, unnest, with_text
+from .common import doc_key, maybe_in, nest, slices, unnest, with_text
 
 #: Characters that end a fragment of a text: sentences and lines.
 BOUNDARY = ".!?\n"
@@ -25,8 +25,8 @@ def fragments(text: str, boundary: str = BOUNDARY) -> list[str]:
     return re.findall(f"[^{b}]*[{b}]+|[^{b}]+", text)
 
 
-def units_of(text: str, boundary: str = BOUNDARY, min_words: int = 8) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, normalised text) in code points of each unit.
+def units_of(text: str, boundary: str = BOUNDARY, min_words: int = 8) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(start, end, words before it, words up to its end, normalised text) of each unit, in code points of the text.
 
     A unit starts at every fragment that has a word and takes in the following ones until it has ``min_words`` words, so
     that units overlap and a passage has the same ones wherever it stands. Normalised: A-Z in lower case, runs of ASCII
@@ -39,42 +39,43 @@ def units_of(text: str, boundary: str = BOUNDARY, min_words: int = 8) -> Iterato
             place.append((at, at + len(f)))
             words.append(w)
         at += len(f)
-    j = held = 0
+    j = before = upto = 0
     for i in range(len(words)):
-        while held < min_words and j < len(words):
-            held += len(words[j])
+        while upto - before < min_words and j < len(words):
+            upto += len(words[j])
             j += 1
-        if held < min_words:
+        if upto - before < min_words:
             return
-        yield place[i][0], place[j - 1][1], b" ".join([x for w in words[i:j] for x in w])
-        held -= len(words[i])
+        yield place[i][0], place[j - 1][1], before, upto, b" ".join([x for w in words[i:j] for x in w])
+        before += len(words[i])
 
 
 def unit_digests(docs: DataFrame, doc_id: str, text: str, boundary: str, min_words: int) -> DataFrame:
-    """(doc_id, key, start, end, h1, h2) of every unit; h1 and h2 are its 128-bit digest, ``key`` tells texts of one id apart."""
+    """(doc_id, key, start, end, before, upto, h1, h2) of every unit: its span in code points and in words, its 128-bit
+    digest h1, h2; ``key`` tells texts of one id apart."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2, 2 << 20):
-                row, start, end, digest = [], [], [], []
+                row, spans, digest = [], [], []
                 for i, t in enumerate(part.column(2).to_pylist()):
-                    for a, b, unit in units_of(t or "", boundary, min_words):
+                    for *span, unit in units_of(t or "", boundary, min_words):
                         row.append(i)
-                        start.append(a)
-                        end.append(b)
+                        spans.append(span)
                         digest.append(xxhash.xxh3_128_digest(unit))
                 halves = np.frombuffer(b"".join(digest), dtype=">i8").reshape(-1, 2).astype(np.int64)
+                places = np.array(spans, dtype=np.int32).reshape(-1, 4)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])],
-                    names=["doc_id", "key", "start", "end", "h1", "h2"])
+                    [part.column(0).take(at), part.column(1).take(at), *[pa.array(places[:, k].copy()) for k in range(4)], pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())],
+                    names=["doc_id", "key", "start", "end", "before", "upto", "h1", "h2"])
 
     frame = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_key(F.col(text))).alias("key"), F.col(text).cast("string").alias("text"))
     kind = frame.schema["doc_id"].dataType.simpleString()
-    return frame.mapInArrow(run, f"doc_id {kind}, key long, start long, end long, h1 long, h2 long")
+    return frame.mapInArrow(run, f"doc_id {kind}, key long, start int, end int, before int, upto int, h1 long, h2 long")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", boundary: str = BOUNDARY, min_words: int = 8) -> DataFrame:
-    """(doc_id, key, spans): for each document with any, the spans (start, end) of units that an earlier ranked place has.
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", boundary: str = BOUNDARY, min_words: int = 8, min_run: int = 30) -> DataFrame:
+    """(doc_id, key, runs): for each document with any, the spans (start, end) of its runs of ``min_run`` repeated words.
 
     Rank is by doc_id (null first), then the text's digest ``key``, then start; rows of equal id and text are one place.
     Units are grouped by digest over all documents: counts and first places are reduced in each task before the shuffle,
@@ -86,18 +87,27 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", boundar
     first = settle(units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
                    .select("h1", "h2", F.col("first.doc_id").alias("f_doc"), F.col("first.key").alias("f_key"), F.col("first.start").alias("f_start")))
     again = units.join(first, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("key") == F.col("f_key")) & (F.col("start") == F.col("f_start"))))
-    return again.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = again.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end", "before", "upto"))).alias("spans"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [runs_of([tuple(s.values()) for s in x.as_py()], min_run) for x in batch.column(2)]
+            at = pa.array([i for i, r in enumerate(runs) if r], pa.int64())
+            found = pa.array([[{"start": a, "end": b} for a, b in r] for r in runs if r], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), found], names=["doc_id", "key", "runs"])
+
+    return spans.mapInArrow(run, f"doc_id {spans.schema['doc_id'].dataType.simpleString()}, key long, runs {_SPANS}")
 
 
-def runs_of(text: str, spans: Iterable[tuple[int, int]], min_run: int) -> list[tuple[int, int]]:
-    """Spans (ascending) that overlap or touch, joined; those of ``min_run`` words."""
+def runs_of(spans: Iterable[tuple[int, int, int, int]], min_run: int) -> list[tuple[int, int]]:
+    """Spans (start, end, before, upto; ascending) that overlap or touch, joined; those of ``min_run`` words."""
     joined: list[list[int]] = []
-    for a, b in spans:
+    for a, b, before, upto in spans:
         if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(b, joined[-1][1])
+            joined[-1][1], joined[-1][3] = max(b, joined[-1][1]), max(upto, joined[-1][3])
         else:
-            joined.append([a, b])
-    return [(a, b) for a, b in joined if len(text[a:b].encode().split()) >= min_run]
+            joined.append([a, b, before, upto])
+    return [(a, b) for a, b, before, upto in joined if upto - before >= min_run]
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -110,22 +120,26 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _cut(docs: DataFrame, doc_id: str, text: str, boundary: str, min_words: int, min_run: int) -> DataFrame:
-    """(row, removed): all columns of each row in one struct, its text cut, and the spans that went."""
-    found = repeats(docs, doc_id, text, boundary, min_words).withColumnsRenamed({"doc_id": "id", "key": "of"})
-    keyed = nest(docs, own=F.xxhash64(doc_key(F.col(text))))
-    met = keyed.join(found, keyed["row"][doc_id].eqNullSafe(found["id"]) & (F.col("own") == F.col("of")), "left").select("row", F.coalesce("spans", F.expr("array()").cast(_SPANS)).alias("removed"))
+    """(row, removed): all columns of each row in one struct, its text cut, and the spans that went.
+
+    Texts without a run, which a bit table of fixed size tells, stay where they are; only the others are shuffled.
+    """
+    found = settle(repeated_runs(docs, doc_id, text, boundary, min_words, min_run).withColumnsRenamed({"doc_id": "id", "key": "of"}))
+    keyed = nest(docs, own=F.xxhash64(doc_key(F.col(text)))).withColumn("mark", F.xxhash64(F.col("row")[doc_id], "own"))
+    flagged = maybe_in(keyed, "mark", found.select(F.xxhash64("id", "of").alias("mark")))
+    some = flagged.where("maybe")
+    none = F.expr("array()").cast(_SPANS)
+    met = some.join(found, some["row"][doc_id].eqNullSafe(found["id"]) & (F.col("own") == F.col("of")), "left").select("row", F.coalesce("runs", none).alias("removed"))
     at = docs.columns.index(text)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, 4 << 20, at):
-                texts, spans = part.column(0).field(at).to_pylist(), part.column(1).to_pylist()
-                gone = [runs_of(t, [(s["start"], s["end"]) for s in ss], min_run) if t and ss else [] for t, ss in zip(texts, spans)]
-                cut = [without(t, g) if g else t for t, g in zip(texts, gone)]
-                removed = pa.array([[{"start": a, "end": b} for a, b in g] for g in gone], part.schema.field(1).type)
-                yield pa.RecordBatch.from_arrays([with_text(part.column(0), at, cut), removed], schema=part.schema)
+                spans = [[(s["start"], s["end"]) for s in x] for x in part.column(1).to_pylist()]
+                cut = [without(t, g) if g else t for t, g in zip(part.column(0).field(at).to_pylist(), spans)]
+                yield pa.RecordBatch.from_arrays([with_text(part.column(0), at, cut), part.column(1)], schema=part.schema)
 
-    return met.mapInArrow(run, met.schema)
+    return met.mapInArrow(run, met.schema).unionByName(flagged.where("not maybe").select("row", none.alias("removed")))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", boundary: str = BOUNDARY, min_words: int = 8, min_run: int = 30) -> DataFrame:

@@ -32,7 +32,7 @@ def edge_documents(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     more = spark.createDataFrame(EDGES, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
     rows = docs.unionByName(more)
-    for name in ("key", "fp", "root", "start", "end", "spans", "label", "n", "term", "score", "piece", "length", "__range", "Lang_Pred"):
+    for name in ("key", "fp", "root", "start", "end", "spans", "label", "n", "term", "score", "piece", "length", "__range", "Lang_Pred", "__lang_pred", "__score", "__stay", "__own", "__spans", "__key", "__terms", "__id", "removed", "row", "own", "id", "of", "mark", "maybe"):
         rows = rows.withColumn(name, F.lit("clash"))
     return rows
 

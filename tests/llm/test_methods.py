@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelmill.llm import bpe, langid, merkle, packing, pii, simhash, substring, topk, wrapper
+from panelmill.llm.common import maybe_in
 from panelmill.llm.tokens import encoder, word_bpe_path
 from panelmill.session import ship
 
@@ -34,6 +35,26 @@ def test_too_many_languages(spark):
         langid.fit(docs, max_labels=5)
 
 
+def test_languages_chosen(spark):
+    """The prediction decides: languages that are not asked for go, as do texts that no language claims."""
+    words = {"en": "the and with this that", "de": "der und mit das nicht", "fr": "le et avec ce pas"}
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(words[lang].split(), k=12)), lang) for i in range(90) for lang in [("en", "de", "fr")[i % 3]]]
+    rows += [(100, "the der", None), (101, "123", "en"), (102, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    assert {r["doc_id"] for r in langid.in_a_language(docs).collect()} >= set(range(90)) and langid.in_a_language(docs).where("doc_id > 100").count() == 0
+    kept = langid.in_a_language(docs, ["de", "fr"]).collect()
+    assert {r["doc_id"] for r in kept} - {100} == {i for i in range(90) if i % 3} and {r["score"] for r in kept} == {"clash"}
+    sure = {r["doc_id"] for r in langid.in_a_language(docs, min_score=1.0).collect()}
+    assert 100 not in sure
+
+
+def test_tie_of_representatives(spark):
+    rows = [(1, "one text of some words here", "b"), (1, "one text of some words here", "a"), (2, "one text of some words here", "0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string")
+    assert [tuple(r) for r in simhash.representatives(docs).collect()] == [(1, "one text of some words here", "a")]
+
+
 def test_tiles_find_every_link(monkeypatch):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
@@ -87,6 +108,15 @@ def test_passage_inside_other_sentences(spark):
     assert all(stage[i]["text"] == got[i]["text"] and stage[i]["removed"] == "clash" and stage[i]["spans"] == 1 for i in got)
 
 
+def test_bit_table_misses_no_member(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("mark"), "id")
+    members = rows.where("id % 50 = 0").select("mark")
+    got = maybe_in(rows, "mark", members)
+    assert got.where("id % 50 = 0 and not maybe").count() == 0 and got.where("id % 50 > 0 and maybe").count() < 20
+    assert maybe_in(rows, "mark", members, bits=15).where("id % 50 = 0 and not maybe").count() == 0
+    assert maybe_in(rows, "mark", members.where("false")).where("maybe").count() == 0
+
+
 def test_lines_alone(spark):
     docs = spark.createDataFrame([(1, "one two. three four five\nsix"), (2, "begin\nOne  two. three FOUR five\nend")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in substring.deduplicate(docs, boundary="\n", min_words=5, min_run=5).collect()}[2] == "begin\nend"
@@ -104,7 +134,8 @@ def test_units_and_runs(seed):
         own = [q.encode().lower().split() for q in parts[i:]]
         for j in range(len(own)):
             if own[0] and sum(map(len, own[:j + 1])) >= 8:
-                want.append((at, at + sum(map(len, parts[i:i + j + 1])), b" ".join(w for ws in own[:j + 1] for w in ws)))
+                before = sum(len(q.encode().split()) for q in parts[:i])
+                want.append((at, at + sum(map(len, parts[i:i + j + 1])), before, before + sum(map(len, own[:j + 1])), b" ".join(w for ws in own[:j + 1] for w in ws)))
                 break
         at += len(p)
     assert list(substring.units_of(text)) == want and want

@@ -222,7 +222,7 @@ def test_pipeline(spark, folder, library):
         out = settle(stage(spark, docs, folder))
         rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
         if name != "pack":
-            assert out.columns == docs.columns
+            assert out.columns == docs.columns and all(r[0] == "clash" for c in out.columns[5:] for r in out.select(f"`{c}`").distinct().collect())
             after = [(r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()]
         if name == "language":
             assert bag(after) == bag(r for r in rows if r[1] and any(c.isalpha() for c in r[1]))
