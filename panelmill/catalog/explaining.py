@@ -9,8 +9,10 @@ from ..operators import decide as D
 from ..operators import modelling as M
 from ..plans.panels import LINE_FEATURES, line_rows
 from ..plans.selection import fs_evaluation
+from ..session import settle
 from .common import LINE_ROWS, query
-from .selecting import IMP, SMALL_GBT, correlation_importances, line_plan
+from .modelling import CUTS
+from .selecting import IMP, LINE_IDS, correlation_importances, line_plan
 
 FEATS = ["l_quantity", "unit_price"]
 FIT = """
@@ -33,17 +35,45 @@ def i1(spark, sf):
     return attributed(spark, sf)
 
 
+@query("i1_linear_shap_all", "l_orderkey:i l_linenumber:i l_partkey:i l_suppkey:i " + " ".join(f"phi_{f}:6" for f in LINE_FEATURES))
+def i1b(spark, sf):
+    rows = line_rows(spark, sf)
+    return A.linear_shap(rows, LINE_FEATURES, M.fit_final_ridge(rows, "target", LINE_FEATURES))
+
+
 @query("i2_sampled_shapley", "feature:s importance:6 efficiency_gap:8")
 def i2(spark, sf):
-    """Attribution of a boosted model for all rows; the gap of Σφ to f(x) − f(background) is 0."""
+    """Attribution of a boosted model against sampled backgrounds; the gap to its prediction is taken from a second scoring."""
+    rows = line_rows(spark, sf).select("period", *LINE_IDS, "target", *LINE_FEATURES)
+    model = M.fit_tree(rows, "target", LINE_FEATURES, "gbt")
+    phi = settle(model.transform(rows, "prediction").select(*LINE_IDS, "period", "prediction", *LINE_FEATURES))
+    phi = settle(A.sampled_shapley(phi, LINE_FEATURES, model, [*LINE_IDS, "period", "prediction"], 2))
+    total = sum((F.col(f"phi_{f}") for f in LINE_FEATURES), F.col("f_background"))
+    gap = phi.agg(F.max(F.abs(total - F.col("prediction"))).alias("g"))
+    return A.mean_abs_importance(phi, LINE_FEATURES).withColumn("efficiency_gap", gap.scalar())
+
+
+@query("i2_tree_shapley", "feature:s importance:6 efficiency_gap:8")
+def i2b(spark, sf):
+    """Exact attribution of a boosted model for all rows; the gap of the values' sum to the prediction is 0."""
+    rows = line_rows(spark, sf).select("target", *LINE_FEATURES)
+    model = M.fit_tree(rows, "target", LINE_FEATURES, "gbt")
+    phi = settle(A.tree_shap(model.transform(rows), LINE_FEATURES, model))
+    total = sum((F.col(f"phi_{f}") for f in LINE_FEATURES), F.lit(A.expected_value(model)))
+    gap = phi.agg(F.max(F.abs(total - F.col("prediction"))).alias("g"))
+    return A.mean_abs_importance(phi, LINE_FEATURES).withColumn("efficiency_gap", gap.scalar())
+
+
+@query("i2_tree_shapley_stump", "quarter:s importance:8 n_samples:i", f"""
+WITH {LINE_ROWS}, cu AS (SELECT unnest({CUTS!r})::DOUBLE AS cut), wt AS (SELECT count(*) AS n, sum(target) AS s FROM lr),
+wc AS (SELECT cut, count(*) AS nl, sum(target) AS sl FROM lr JOIN cu ON l_quantity <= cut GROUP BY 1),
+st AS (SELECT * FROM wc, wt WHERE n > nl ORDER BY sl*sl/nl + (s-sl)*(s-sl)/(n-nl) DESC, cut LIMIT 1)
+SELECT 'Q' || quarter(period) AS quarter, avg(abs(.1*(CASE WHEN l_quantity <= cut THEN sl/nl ELSE (s-sl)/(n-nl) END - s/n))) AS importance, count(*) AS n_samples FROM lr, st GROUP BY 1""")
+def i2c(spark, sf):
+    """A stump's values are its leaves less their mean."""
     rows = line_rows(spark, sf)
-    feats = ["l_quantity", "unit_price", "l_extendedprice", "l_discount"]
-    model = M.fit_tree(rows, "target", feats, "gbt", **SMALL_GBT)
-    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "period"]
-    phi = A.sampled_shapley(rows, feats, model, ids, 2)
-    per = phi.groupBy(*ids).agg(F.abs(F.sum("phi") - F.avg(F.col("f_x") - F.col("f_background")) * F.count(F.lit(1)) / len(feats)).alias("gap"))
-    gap = per.agg(F.max("gap").alias("g"))
-    return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance")).withColumn("efficiency_gap", gap.scalar())
+    model = M.fit_tree(rows, "target", ["l_quantity"], "gbt", cuts=[CUTS], rounds=1, depth=1)
+    return A.importance_by_season(A.tree_shap(rows, ["l_quantity"], model), ["l_quantity"])
 
 
 @query("i3_mean_abs_importance", "feature:s importance:8 n_samples:i importance_normalized:8", f"WITH {LINE_ROWS}, {FIT}, {LONG}, g AS (SELECT feature, avg(a) AS importance, count(*) AS n_samples FROM lo GROUP BY 1) SELECT *, importance/sum(importance) OVER () AS importance_normalized FROM g")
@@ -51,6 +81,12 @@ def i3(spark, sf):
     return A.mean_abs_importance(attributed(spark, sf), FEATS)
 
 
+@query("i4_importance_by_regime_all", "regime:s feature:s importance:6 n_samples:i importance_normalized:6")
+def i4b(spark, sf):
+    rows = line_rows(spark, sf)
+    return A.importance_by_regime(A.linear_shap(rows, LINE_FEATURES, M.fit_final_ridge(rows, "target", LINE_FEATURES)), LINE_FEATURES, REGIMES)
+
+
 @query("i4_importance_by_regime", "regime:s feature:s importance:8 n_samples:i importance_normalized:8", f"""
 WITH {LINE_ROWS}, {FIT}, {LONG}, g AS (SELECT CASE WHEN period < DATE '1997-01-01' THEN 'early' WHEN period < DATE '2000-01-01' THEN 'middle' ELSE 'late' END AS regime, feature, avg(a) AS importance, count(*) AS n_samples FROM lo GROUP BY 1, 2)
 SELECT *, importance/sum(importance) OVER (PARTITION BY regime) AS importance_normalized FROM g WHERE n_samples >= 5""")
@@ -72,10 +108,32 @@ def i5b(spark, sf):
     return A.season_pivot(A.importance_by_season(attributed(spark, sf), FEATS))
 
 
+KEY = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+TURNED = " UNION ALL ".join(
+    f"SELECT {i} AS rep, target, l_quantity, unit_price, coalesce(lead(l_quantity) OVER w, first_value(l_quantity) OVER w) AS q, coalesce(lead(unit_price) OVER w, first_value(unit_price) OVER w) AS u "
+    f"FROM kd WINDOW w AS (PARTITION BY bucket ORDER BY md5(concat_ws('|', k, '42', '{i}')), l_quantity, unit_price)" for i in range(10))
+
+
+@query("i6_permutation_pair", "feature:s importance_mean:8 importance_std:8", f"""
+WITH {LINE_ROWS}, {FIT}, kd AS (SELECT l_quantity, unit_price, target, {KEY} AS k, ('0x' || substr(md5({KEY}), 1, 8))::BIGINT % CAST(ceil((SELECT count(*) FROM lr)/4096.0) AS BIGINT) AS bucket FROM lr),
+tu AS ({TURNED}), er AS (SELECT rep, b1, b2, q - l_quantity AS dq, u - unit_price AS du, target - (my + b1*(l_quantity - m1) + b2*(unit_price - m2)) AS e FROM tu, b, (SELECT avg(target) AS my FROM lr)),
+ri AS (SELECT rep, avg(abs(e - b1*dq) - abs(e)) AS dq, avg(abs(e - b2*du) - abs(e)) AS du FROM er GROUP BY 1)
+SELECT 'l_quantity' AS feature, avg(dq) AS importance_mean, stddev_pop(dq) AS importance_std FROM ri UNION ALL SELECT 'unit_price', avg(du), stddev_pop(du) FROM ri""")
+def i6c(spark, sf):
+    rows = line_rows(spark, sf)
+    return A.permutation_importance(rows, FEATS, "target", M.fit_final_ridge(rows, "target", FEATS), LINE_IDS)
+
+
 @query("i6_permutation_importance", "feature:s importance_mean:6 importance_std:6")
 def i6(spark, sf):
     rows = line_rows(spark, sf)
-    return A.permutation_importance(rows, LINE_FEATURES, "target", M.fit_final_ridge(rows, "target", LINE_FEATURES), 3)
+    return A.permutation_importance(rows, LINE_FEATURES, "target", M.fit_final_ridge(rows, "target", LINE_FEATURES), LINE_IDS)
+
+
+@query("i6_permutation_tree", "feature:s importance_mean:6 importance_std:6")
+def i6b(spark, sf):
+    rows = line_rows(spark, sf)
+    return A.permutation_importance(rows, LINE_FEATURES, "target", M.fit_tree(rows, "target", LINE_FEATURES, "gbt"), LINE_IDS)
 
 
 @query("i8_concentration_topk", "concentration:8", f"""
@@ -120,12 +178,10 @@ def i11b(spark, sf):
 @query("i12_interpretation_report", "section:s part:s feature:s value:6")
 def i12(spark, sf):
     rows = line_rows(spark, sf)
-    return A.interpretation_report(rows, LINE_FEATURES, "target", M.fit_final_ridge(rows, "target", LINE_FEATURES), 2, regimes=REGIMES)
+    return A.interpretation_report(rows, LINE_FEATURES, "target", M.fit_final_ridge(rows, "target", LINE_FEATURES), LINE_IDS, regimes=REGIMES)
 
 
 @query("i12_tree_report", "section:s part:s feature:s value:6")
 def i12b(spark, sf):
     rows = line_rows(spark, sf)
-    feats = ["l_quantity", "unit_price", "l_extendedprice"]
-    model = M.fit_tree(rows, "target", feats, "gbt", **SMALL_GBT)
-    return A.tree_report(rows, feats, model, ["period"], 1, regimes=REGIMES)
+    return A.tree_report(rows, LINE_FEATURES, "target", M.fit_tree(rows, "target", LINE_FEATURES, "gbt"), LINE_IDS, regimes=REGIMES)

@@ -11,7 +11,7 @@ from ..operators.features import lag_features, season_sincos
 from ..operators.folds import fold_plan, period_axis
 from ..plans.panels import LINE_FEATURES, line_rows, nation_aligned, region_quarter
 from .common import LINE_ROWS, REGION_QUARTER, folds_sql, query
-from .selecting import SMALL_FOREST, SMALL_GBT, line_plan
+from .selecting import line_plan
 
 RIDGE1 = f"""{LINE_ROWS}, r1 AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(target) AS my, covar_pop(l_quantity, target) AS sxy, var_pop(l_quantity) AS sxx FROM lr)"""
 
@@ -38,23 +38,75 @@ METRICS = "mae:6 rmse:6 mse:6 mape:6 r2:6 bias:6 n:i"
 
 def tree_metrics(spark, sf, kind, **params):
     rows = line_rows(spark, sf)
-    return V.forecast_metrics(M.backtest_tree(rows, "target", LINE_FEATURES, line_plan(rows, 64, 8), kind, **params), ["model", "horizon"])
+    return V.forecast_metrics(M.backtest_tree(rows, "target", LINE_FEATURES, line_plan(rows), kind, **params), ["model", "horizon"])
 
 
 @query("m2_random_forest", "model:s horizon:i " + METRICS)
 def m2(spark, sf):
-    return tree_metrics(spark, sf, "random_forest", **SMALL_FOREST)
+    return tree_metrics(spark, sf, "random_forest")
 
 
 @query("m3_gbt", "model:s horizon:i " + METRICS)
 def m3(spark, sf):
-    return tree_metrics(spark, sf, "gbt", **SMALL_GBT)
+    return tree_metrics(spark, sf, "gbt")
+
+
+@query("m3_gbt_shallow", "model:s horizon:i " + METRICS)
+def m3c(spark, sf):
+    """Five rounds of depth 3 over all windows."""
+    return tree_metrics(spark, sf, "gbt", rounds=5, depth=3)
 
 
 AGG = ("avg(abs(actual-predicted)) AS mae, sqrt(avg((actual-predicted)**2)) AS rmse, avg((actual-predicted)**2) AS mse, avg(abs((actual-predicted)/(actual+1e-10)))*100 AS mape, "
        "1 - sum((actual-predicted)**2)/(var_pop(actual)*count(*)) AS r2, avg(predicted-actual) AS bias, count(*) AS n")
 
 
+# the best cut of quantity for each train window, by the fall of squared error; cuts at 5.5, 10.5, ... 45.5
+CUTS = [5.5 + 5 * k for k in range(9)]
+STUMP = f"""{LINE_ROWS}, {folds_sql('lr', 40)}, cu AS (SELECT unnest({CUTS!r})::DOUBLE AS cut),
+wi AS (SELECT DISTINCT train_start_ord, train_end_ord FROM pl),
+wt AS (SELECT train_end_ord, count(*) AS n, sum(target) AS s FROM lr JOIN wi ON ord BETWEEN train_start_ord AND train_end_ord GROUP BY 1),
+wc AS (SELECT train_end_ord, cut, count(*) AS nl, sum(target) AS sl FROM lr JOIN wi ON ord BETWEEN train_start_ord AND train_end_ord JOIN cu ON l_quantity <= cut GROUP BY 1, 2),
+st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY train_end_ord ORDER BY sl*sl/nl + (s-sl)*(s-sl)/(n-nl) DESC, cut) AS r FROM wc JOIN wt USING (train_end_ord) WHERE n > nl) WHERE r = 1)"""
+
+
+def stump_metrics(spark, sf, kind, **params):
+    rows = line_rows(spark, sf)
+    preds = M.backtest_tree(rows, "target", ["l_quantity"], line_plan(rows), kind, cuts=[CUTS], depth=1, **params)
+    return V.forecast_metrics(preds, ["horizon"])
+
+
+@query("m2_forest_stump", "horizon:i " + METRICS, f"""
+WITH {STUMP}, p AS (SELECT horizon, target AS actual, CASE WHEN l_quantity <= cut THEN sl/nl ELSE (s-sl)/(n-nl) END AS predicted FROM lr JOIN pl ON ord BETWEEN test_start_ord AND test_end_ord JOIN st USING (train_end_ord))
+SELECT horizon, {AGG} FROM p GROUP BY 1""")
+def m2b(spark, sf):
+    """One tree of one split on all rows, refitted for each train window."""
+    return stump_metrics(spark, sf, "random_forest", trees=1, share=1.0, bootstrap=False)
+
+
+@query("m3_gbt_stump", "horizon:i " + METRICS, f"""
+WITH {STUMP}, p AS (SELECT horizon, target AS actual, s/n + .1*(CASE WHEN l_quantity <= cut THEN sl/nl ELSE (s-sl)/(n-nl) END - s/n) AS predicted FROM lr JOIN pl ON ord BETWEEN test_start_ord AND test_end_ord JOIN st USING (train_end_ord))
+SELECT horizon, {AGG} FROM p GROUP BY 1""")
+def m3b(spark, sf):
+    """One round of one split, shrunk by the rate."""
+    return stump_metrics(spark, sf, "gbt", rounds=1)
+
+
+@query("m3_gbt_stump_by_region", "r_name:s horizon:i " + METRICS, f"""
+WITH {REGION_QUARTER}, lg AS (SELECT r_name, period, ord, ln(y) AS t, CAST(quarter(period) AS DOUBLE) AS x FROM rq), {folds_sql('lg', 12)},
+wi AS (SELECT DISTINCT train_start_ord, train_end_ord FROM pl), cu AS (SELECT unnest([1.5, 2.5, 3.5])::DOUBLE AS cut),
+wt AS (SELECT r_name, train_end_ord, count(*) AS n, sum(t) AS s FROM lg JOIN wi ON ord BETWEEN train_start_ord AND train_end_ord GROUP BY ALL),
+wc AS (SELECT r_name, train_end_ord, cut, count(*) AS nl, sum(t) AS sl FROM lg JOIN wi ON ord BETWEEN train_start_ord AND train_end_ord JOIN cu ON x <= cut GROUP BY ALL),
+st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r_name, train_end_ord ORDER BY sl*sl/nl + (s-sl)*(s-sl)/(n-nl) DESC, cut) AS r FROM wc JOIN wt USING (r_name, train_end_ord) WHERE n > nl) WHERE r = 1),
+p AS (SELECT r_name, horizon, t AS actual, s/n + .1*(CASE WHEN x <= cut THEN sl/nl ELSE (s-sl)/(n-nl) END - s/n) AS predicted FROM lg JOIN pl ON ord BETWEEN test_start_ord AND test_end_ord JOIN st USING (r_name, train_end_ord))
+SELECT r_name, horizon, {AGG} FROM p GROUP BY 1, 2""")
+def m3d(spark, sf):
+    """A model of its own for every region and train window."""
+    panel = region_quarter(spark, sf).withColumn("target", F.ln("y")).withColumn("season", F.quarter("period").cast("double"))
+    preds = M.backtest_tree(panel, "target", ["season"], fold_plan(period_axis(panel), 12), "gbt", ["r_name"], cuts=[[1.5, 2.5, 3.5]], rounds=1, depth=1)
+    return V.forecast_metrics(preds, ["r_name", "horizon"])
+
+
 @query("m5_backtest_region_ridge", "r_name:s horizon:i " + METRICS, f"""
 WITH {REGION_QUARTER}, lg AS (SELECT r_name, period, ord, ln(y) AS t, lag(y) OVER (PARTITION BY r_name ORDER BY ord) AS x FROM rq), ok AS (SELECT * FROM lg WHERE x IS NOT NULL), {folds_sql('ok', 12)},
 f AS (SELECT r_name, train_end_ord, count(*) AS n, avg(x) AS mx, avg(t) AS my, covar_pop(x, t) AS sxy, var_pop(x) AS sxx FROM ok JOIN (SELECT DISTINCT train_start_ord, train_end_ord FROM pl) ON ord BETWEEN train_start_ord AND train_end_ord GROUP BY 1, 2),
@@ -105,8 +157,7 @@ def m6(spark, sf):
 
 @query("m6_final_tree_importance", "feature:s importance:6")
 def m6b(spark, sf):
-    model = M.fit_tree(line_rows(spark, sf), "target", LINE_FEATURES, "random_forest", **SMALL_FOREST)
-    return M.tree_importance_table(spark, model, LINE_FEATURES)
+    return M.tree_importance_table(spark, M.fit_tree(line_rows(spark, sf), "target", LINE_FEATURES, "random_forest"))
 
 
 SPACE = {"alpha": {"type": "log_uniform", "low": 0.01, "high": 1000.0}, "depth": {"type": "int", "low": 2, "high": 8},
@@ -151,7 +202,27 @@ def h2b(spark, sf):
 @query("h2_sweep_tree", "params:s weighted_mae:6 horizon_spread_penalty:6 fitness:6")
 def h2c(spark, sf):
     rows = line_rows(spark, sf)
-    return H.sweep_tree(rows, "target", LINE_FEATURES, line_plan(rows, 72, 4), "random_forest", [{"numTrees": 5, "maxDepth": 3}, {"numTrees": 5, "maxDepth": 5}])
+    points = H.param_candidates(spark, FOREST_SPACE, 16).orderBy("candidate").collect()
+    return H.sweep_tree(rows, "target", LINE_FEATURES, line_plan(rows), "random_forest", [{k: r[k] for k in FOREST_SPACE} for r in points])
+
+
+# The search space of the forest.
+FOREST_SPACE = {"trees": {"type": "int", "low": 5, "high": 30}, "depth": {"type": "int", "low": 3, "high": 8},
+                "min_split": {"type": "int", "low": 2, "high": 10}, "min_leaf": {"type": "int", "low": 1, "high": 5}}
+
+
+@query("h2_sweep_tree_stumps", "params:s weighted_mae:8 horizon_spread_penalty:8 fitness:8", f"""
+WITH {STUMP}, ra AS (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS rate),
+fm AS (SELECT rate, fold_id, horizon, avg(abs(target - (s/n + rate*(CASE WHEN l_quantity <= cut THEN sl/nl ELSE (s-sl)/(n-nl) END - s/n)))) AS mae FROM lr JOIN pl ON ord BETWEEN test_start_ord AND test_end_ord JOIN st USING (train_end_ord), ra GROUP BY 1, 2, 3),
+hm AS (SELECT rate, horizon, avg(mae) AS mae FROM fm GROUP BY 1, 2),
+sw AS (SELECT rate, sum(CASE horizon WHEN 1 THEN .5 WHEN 2 THEN .3 ELSE .2 END*mae) AS weighted_mae, stddev_pop(mae) AS horizon_spread_penalty FROM hm GROUP BY 1)
+SELECT 'rate=' || CAST(rate AS VARCHAR) || ', rounds=1, depth=1' AS params, weighted_mae, horizon_spread_penalty, weighted_mae + .1*horizon_spread_penalty AS fitness FROM sw
+UNION ALL SELECT 'rate=-1.0, rounds=1, depth=1', NULL, NULL, 'Infinity'::DOUBLE""")
+def h2d(spark, sf):
+    """Three rates and one that cannot be, on one cut of quantity."""
+    rows = line_rows(spark, sf)
+    points = [{"rate": r, "rounds": 1, "depth": 1} for r in (0.1, 0.5, 1.0, -1.0)]
+    return H.sweep_tree(rows, "target", ["l_quantity"], line_plan(rows), "gbt", points, cuts=[CUTS])
 
 
 @query("h3_sweep_history", "iteration:i mean_fitness:8 best_fitness:8", f"""

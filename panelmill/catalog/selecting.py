@@ -15,8 +15,7 @@ from ..plans.panels import LINE_FEATURES, line_rows
 from ..plans.selection import run_all_fs
 from .common import LINE_ROWS, folds_sql, query
 
-SMALL_FOREST = {"numTrees": 10, "maxDepth": 4}
-SMALL_GBT = {"maxIter": 5, "maxDepth": 3}
+LINE_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def line_plan(rows, min_train=40, test=4):
@@ -91,24 +90,24 @@ def l5(spark, sf):
 @query("n1_rf_importance_folds", "method:s feature:s mean_importance:6 std_importance:6 min_importance:6 max_importance:6 selected:b")
 def n1(spark, sf):
     rows = line_rows(spark, sf)
-    return E.importance_over_folds(E.fold_importances(rows, LINE_FEATURES, "target", line_plan(rows, 56, 8), "random_forest", **SMALL_FOREST), "rf_importance")
+    return E.importance_over_folds(E.fold_importances(rows, LINE_FEATURES, "target", line_plan(rows), "random_forest"), "rf_importance")
 
 
 @query("n2_gbt_importance_folds", "method:s feature:s mean_importance:6 std_importance:6 min_importance:6 max_importance:6 selected:b")
 def n2(spark, sf):
     rows = line_rows(spark, sf)
-    return E.importance_over_folds(E.fold_importances(rows, LINE_FEATURES, "target", line_plan(rows, 56, 8), "gbt", **SMALL_GBT), "gbt_importance", "relative")
+    return E.importance_over_folds(E.fold_importances(rows, LINE_FEATURES, "target", line_plan(rows), "gbt"), "gbt_importance", "relative")
 
 
 @query("n3_boruta", "feature:s hits:i rounds:i p_value:6 verdict:s selected:b")
 def n3(spark, sf):
-    return E.boruta(line_rows(spark, sf), LINE_FEATURES, "target", rounds=5, numTrees=10, maxDepth=4)
+    return E.boruta(line_rows(spark, sf), LINE_FEATURES, "target", LINE_IDS)
 
 
 @query("n4_fs_nonlinear", "method:s feature:s score:6 selected:b")
 def n4(spark, sf):
     rows = line_rows(spark, sf)
-    return E.fs_nonlinear(rows, LINE_FEATURES, "target", line_plan(rows, 64, 8), forest=SMALL_FOREST, gbt=SMALL_GBT)
+    return E.fs_nonlinear(rows, LINE_FEATURES, "target", line_plan(rows))
 
 
 @query("t1_mutual_info", "feature:s mi_score:4 mi_normalized:4 selected:b")
@@ -183,7 +182,7 @@ def r1(spark, sf):
 
 @query("r2_rfe_forest", "feature:s ranking:i selected:b")
 def r2(spark, sf):
-    return R.rfe_forest(line_rows(spark, sf), LINE_FEATURES, "target", 6, **SMALL_FOREST)
+    return R.rfe_forest(line_rows(spark, sf), LINE_FEATURES, "target", 6)
 
 
 @query("r3_forward_select", "feature:s selected:b step:i mae:6")
@@ -204,7 +203,7 @@ def r5(spark, sf):
 
 @query("r6_run_wrappers", "category:s method:s feature:s score:6 selected:b")
 def r6(spark, sf):
-    return R.run_wrappers(line_rows(spark, sf), LINE_FEATURES, "target", 7, **SMALL_FOREST)
+    return R.run_wrappers(line_rows(spark, sf), LINE_FEATURES, "target", 7)
 
 
 @query("e1_lasso_select", "feature:s coefficient:6 abs_coefficient:6 alpha:8 selected:b")
@@ -219,17 +218,17 @@ def e2(spark, sf):
 
 @query("e3_gbt_select", "feature:s importance:6 selected:b")
 def e3(spark, sf):
-    return E.tree_select(line_rows(spark, sf), LINE_FEATURES, "target", "gbt", 4, **SMALL_GBT)
+    return E.tree_select(line_rows(spark, sf), LINE_FEATURES, "target", "gbt", 4)
 
 
 @query("e4_rf_select", "feature:s importance:6 selected:b")
 def e4(spark, sf):
-    return E.tree_select(line_rows(spark, sf), LINE_FEATURES, "target", "random_forest", threshold=0.05, **SMALL_FOREST)
+    return E.tree_select(line_rows(spark, sf), LINE_FEATURES, "target", "random_forest", threshold=0.05)
 
 
 @query("e5_run_embedded", "category:s method:s feature:s score:6 selected:b")
 def e5(spark, sf):
-    return E.run_embedded(line_rows(spark, sf), LINE_FEATURES, "target", 5, forest=SMALL_FOREST, gbt=SMALL_GBT)
+    return E.run_embedded(line_rows(spark, sf), LINE_FEATURES, "target", 5)
 
 
 # fold importances |corr| on the train window, the input of the consensus queries
@@ -315,5 +314,5 @@ def c5(spark, sf):
 @query("c5_run_all_fs", "fs_option:s n_features:i features:s")
 def c5b(spark, sf):
     rows = line_rows(spark, sf)
-    options, _ = run_all_fs(rows, LINE_FEATURES, "target", line_plan(rows, 70, 8), top_k=6, forest=SMALL_FOREST, gbt=SMALL_GBT)
+    options, _ = run_all_fs(rows, LINE_FEATURES, "target", line_plan(rows), top_k=6)
     return C.options_summary(options, C.feature_list(spark, LINE_FEATURES)).withColumn("features", F.concat_ws(",", "features"))

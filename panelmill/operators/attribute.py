@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.period import season_label
-from ..session import reuse
-from .distributed import dense_ordinals, null_safe, partner_rows
+from ..session import settle
+from .distributed import null_safe, permuted
 from .gram import complete
+from .trees import TreeModel
 
 # Default regimes as half-open date ranges.
 REGIMES = {"pre_covid": (None, "2020-01-01"), "covid": ("2020-01-01", "2022-01-01"), "post_covid": ("2022-01-01", None)}
@@ -81,63 +84,189 @@ def season_pivot(by_season: DataFrame, top: int | None = None) -> DataFrame:
     return ordered if top is None else ordered.limit(top)
 
 
-def permutation_importance(df: DataFrame, features: Sequence[str], target: str, fit: DataFrame, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Rise of the MAE when one column is shuffled (positive = useful feature).
+def permutation_importance(df: DataFrame, features: Sequence[str], target: str, model, ids: Sequence[str], repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Rise of the MAE when one column changes rows (positive = useful feature), for a linear fit or a tree model.
 
-    For a linear model the shuffled prediction is ŷ + β(x′ − x), so one seeded
-    pairing of rows per repeat scores every feature in one aggregation.
+    ``model`` is a one-row fit (see ``fit_final_ridge``) or a ``TreeModel``. ``permuted`` gives every row the values of
+    ``repeats`` others in one shuffle, whatever the layout; all features and repeats are scored in one pass.
     """
     feats = list(features)
-    coef = fit.select(F.struct("beta", "intercept").alias("__f"))
-    rows, n = dense_ordinals(complete(df.select(*dict.fromkeys([*feats, target])), [*feats, target]))
-    rows = reuse(rows)
-    out = None
-    for r in range(repeats):
-        pairs = partner_rows(rows, feats, n, seed + r).withColumn("__f", coef.scalar())
+    rows = permuted(complete(df.select(*dict.fromkeys([*ids, *feats, target])), [*feats, target]), feats, ids, repeats, seed)
+    if isinstance(model, TreeModel):
+        per = _tree_rises(rows, feats, target, model, repeats)
+    else:
+        coef = model.select(F.struct("beta", "intercept").alias("__f"))
+        pairs = rows.select(*feats, target, F.posexplode("__p").alias("repeat", "__o")).withColumn("__f", coef.scalar())
         pred = F.col("__f.intercept")
         for i, f in enumerate(feats):
             pred = pred + F.get(F.col("__f.beta"), F.lit(i)) * F.col(f)
         e = pairs.withColumn("__e", F.col(target) - pred)
-        rise = [F.avg(F.abs(F.col("__e") - F.get(F.col("__f.beta"), F.lit(i)) * (F.col(f"p_{f}") - F.col(f))) - F.abs("__e")).alias(f"d{i}") for i, f in enumerate(feats)]
+        rise = [F.avg(F.abs(F.col("__e") - F.get(F.col("__f.beta"), F.lit(i)) * (F.col("__o")[f] - F.col(f))) - F.abs("__e")).alias(f"d{i}") for i, f in enumerate(feats)]
         cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"d{i}").alias("rise")) for i, f in enumerate(feats)])
-        one = e.agg(*rise).select(F.inline(cells))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("feature").agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
+        per = e.groupBy("repeat").agg(*rise).select("repeat", F.inline(cells))
+    return per.groupBy("feature").agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
 
 
-def sampled_shapley(df: DataFrame, features: Sequence[str], model, ids: Sequence[str], permutations: int = 5, seed: int = 42) -> DataFrame:
-    """Shapley values of any fitted Spark ML model by permutation sampling.
+def _values(batch: pa.RecordBatch, column: int, width: int) -> np.ndarray:
+    """An array column of doubles as rows x ``width``."""
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
-    Each row is paired with a background row and walks through a feature order,
-    switching one feature at a time from the background to its own value; the
-    steps' prediction changes are averaged (Štrumbelj & Kononenko 2014). All rows
-    are attributed. φ of a row sums to f(x) − mean f(background).
-    Returns ``(ids…, feature, phi, f_x, f_background)``.
+
+def _doubles(columns: Sequence[Column]) -> Column:
+    return F.array(*[c.cast("double") for c in columns])
+
+
+def _tree_rises(rows: DataFrame, feats: list[str], target: str, model: TreeModel, repeats: int) -> DataFrame:
+    """(repeat, feature, rise): every task adds up the errors of its rows, then the sums meet."""
+    p = len(feats)
+    wide = rows.select(_doubles([F.col(f) for f in feats]).alias("x"), F.col(target).cast("double").alias("y"),
+                       F.flatten(F.transform("__p", lambda o: _doubles([o[f] for f in feats]))).alias("o"))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, total, n = shared.value, np.zeros((repeats, p)), 0
+        for batch in batches:
+            x, y, other = _values(batch, 0, p), batch.column(1).to_numpy(), _values(batch, 2, repeats * p)
+            plain = np.abs(y - m.predict(x))
+            n += len(y)
+            for r in range(repeats):
+                for k in range(p):
+                    turned = x.copy()
+                    turned[:, k] = other[:, r * p + k]
+                    total[r, k] += (np.abs(y - m.predict(turned)) - plain).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(repeats), p)), pa.array(np.tile(np.arange(p), repeats)), pa.array(total.ravel()), pa.array(np.full(repeats * p, n))], names=["repeat", "k", "total", "n"])
+
+    sums = wide.mapInArrow(run, "repeat long, k long, total double, n long").groupBy("repeat", "k").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("rise"))
+    return sums.select("repeat", F.get(F.array(*[F.lit(f) for f in feats]), F.col("k")).alias("feature"), "rise")
+
+
+def _with_columns(df: DataFrame, feats: Sequence[str], extra: Sequence[Column], make, names: Sequence[str]) -> DataFrame:
+    """``df`` with columns that ``make(x, batch, first extra column)`` computes from the features, rows where they are."""
+    columns = df.columns
+    wide = complete(df, feats).select(*columns, _doubles([F.col(f) for f in feats]).alias("__x"), *extra)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = make(_values(batch, len(columns), len(feats)), batch, len(columns) + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], *[pa.array(c) for c in found]], names=[*columns, *names])
+
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` double" for n in names])
+    return wide.mapInArrow(run, kinds)
+
+
+def tree_shap(df: DataFrame, features: Sequence[str], model: TreeModel, prefix: str = "phi_") -> DataFrame:
+    """Exact path-dependent Shapley values of a tree model (Lundberg et al. 2020): one column for each feature.
+
+    The value of a set of features is the mean leaf reached when unknown features follow both branches by their train rows.
+    The values of a row add up to its prediction less ``expected_value``. Paths to leaves are flattened once; whether a row
+    meets a path's condition on each feature makes a pattern, and rows of one pattern share their values. No shuffle.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(leaf_paths(model))
+    feats = list(features)
+    binned = df.sparkSession.sparkContext.broadcast(model)
+
+    def make(x: np.ndarray, batch: pa.RecordBatch, extra: int) -> list[np.ndarray]:
+        return list(shap_values(shared.value, binned.value.bins(x).T, len(feats)))
+
+    return _with_columns(df, feats, [], make, [prefix + f for f in feats])
+
+
+def leaf_paths(model: TreeModel) -> list[tuple]:
+    """(value, features, bins above, bins up to, shares) of every leaf: its conditions, merged by feature, and the share of
+    train rows that each one's branches hold."""
+    out = []
+    for t in range(len(model.feature)):
+        stack = [(0, {})]
+        while stack:
+            node, seen = stack.pop()
+            f = int(model.feature[t, node])
+            if f < 0:
+                if seen:
+                    fs = sorted(seen)
+                    out.append((model.scale * model.value[t, node], fs, *[np.array([seen[k][i] for k in fs]) for i in range(3)]))
+                continue
+            low, high, share = seen.get(f, (-1, 255, 1.0))
+            c = int(model.cut[t, node])
+            for child, a, b in ((2 * node + 1, low, min(high, c)), (2 * node + 2, max(low, c), high)):
+                stack.append((child, {**seen, f: (a, b, share * model.cover[t, child] / model.cover[t, node])}))
+    return out
+
+
+def expected_value(model: TreeModel) -> float:
+    """Mean prediction over the train rows of the trees."""
+    total = model.base
+    for t in range(len(model.feature)):
+        at = [i for i in range(model.feature.shape[1]) if model.feature[t, i] < 0 and (i == 0 or model.feature[t, (i - 1) // 2] >= 0)]
+        total += model.scale * float(np.average(model.value[t, at], weights=model.cover[t, at]))
+    return total
+
+
+def path_shares(met: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley shares (patterns x features) of a leaf of value 1, for patterns of conditions met and the branch shares.
+
+    A set's worth is the product of what its members meet and the others' shares; the sets of each size are added up as a
+    polynomial over the other features.
     """
-    from pyspark.ml.feature import VectorAssembler
+    u, m = met.shape
+    out = np.zeros((u, m))
+    weight = np.array([math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)])
+    for j in range(m):
+        c = np.zeros((u, m))
+        c[:, 0] = 1
+        for k in range(m):
+            if k != j:
+                c[:, 1:] = c[:, 1:] * share[k] + c[:, :-1] * met[:, k, None]
+                c[:, 0] *= share[k]
+        out[:, j] = (met[:, j] - share[j]) * (c @ weight)
+    return out
 
+
+def shap_values(paths: Sequence[tuple], bins: np.ndarray, width: int) -> np.ndarray:
+    """Features x rows, from bins as features x rows."""
+    out, n = np.zeros((width, bins.shape[1])), bins.shape[1]
+    bins = np.ascontiguousarray(bins)
+    for value, fs, low, high, share in paths:
+        pattern = np.zeros(n, dtype=np.int64)
+        for k, f in enumerate(fs):
+            pattern |= ((bins[f] > low[k]) & (bins[f] <= high[k])).astype(np.int64) << k
+        seen = np.flatnonzero(np.bincount(pattern, minlength=1 << len(fs)))
+        table = np.zeros((1 << len(fs), len(fs)))
+        table[seen] = value * path_shares((seen[:, None] >> np.arange(len(fs)) & 1).astype(float), share)
+        for k, f in enumerate(fs):
+            out[f] += table[:, k].take(pattern)
+    return out
+
+
+def sampled_shapley(df: DataFrame, features: Sequence[str], model: TreeModel, ids: Sequence[str], permutations: int = 5, seed: int = 42) -> DataFrame:
+    """Shapley values of a fitted model against other rows as background, by sampled orders.
+
+    Each row is paired with ``permutations`` background rows (see ``permuted``) and walks from each through a feature order,
+    switching one feature at a time to its own value; the steps' prediction changes are averaged (Štrumbelj & Kononenko
+    2014). Columns of ``ids``, phi_<feature>, f_x and f_background; the values of a row add up to f_x - f_background.
+    """
     feats, p = list(features), len(features)
-    rows, n = dense_ordinals(complete(df.select(*dict.fromkeys([*ids, *feats])), feats))
-    rows = reuse(rows)
+    rows = permuted(complete(df.select(*dict.fromkeys([*ids, *feats])), feats), feats, ids, permutations, seed)
     rng = np.random.default_rng(seed)
-    assemble = VectorAssembler(inputCols=[f"__w_{f}" for f in feats], outputCol="__x")
-    out = None
-    for r in range(permutations):
-        rank = {f: int(k) for k, f in zip(rng.permutation(p), feats)}      # position of each feature in this order
-        by_pos = sorted(feats, key=rank.__getitem__)
-        paired = partner_rows(rows, feats, n, seed + r)
-        steps = paired.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(p))))
-        mixed = steps.select("row_ord", *ids, "__s", *[
-            F.when(F.col("__s") > rank[f], F.col(f)).otherwise(F.col(f"p_{f}")).cast("double").alias(f"__w_{f}") for f in feats])
-        pred = model.transform(assemble.transform(mixed)).select("row_ord", *ids, "__s", "prediction")
-        # one small group per row: its p + 1 predictions in order
-        path = pred.groupBy("row_ord", *ids).agg(*[F.max(F.when(F.col("__s") == s, F.col("prediction"))).alias(f"s{s}") for s in range(p + 1)])
-        cells = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"s{k + 1}") - F.col(f"s{k}")).alias("d"),
-                                   F.col(f"s{p}").alias("fx"), F.col("s0").alias("f0")) for k, f in enumerate(by_pos)])
-        one = path.select("row_ord", *ids, F.inline(cells))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("row_ord", *ids, "feature").agg(
-        F.avg("d").alias("phi"), F.avg("fx").alias("f_x"), F.avg("f0").alias("f_background")).drop("row_ord")
+    orders = [rng.permutation(p).tolist() for _ in range(permutations)]
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def make(x: np.ndarray, batch: pa.RecordBatch, extra: int) -> list[np.ndarray]:
+        other = _values(batch, extra, permutations * p)
+        phi, start, own = np.zeros((p, len(x))), np.zeros(len(x)), shared.value.predict(x)
+        for r, order in enumerate(orders):
+            walk = other[:, r * p:(r + 1) * p].copy()
+            before = shared.value.predict(walk)
+            start += before
+            for k in order:
+                walk[:, k] = x[:, k]
+                after = shared.value.predict(walk)
+                phi[k] += after - before
+                before = after
+        return [*(phi / permutations), own, start / permutations]
+
+    others = F.flatten(F.transform("__p", lambda o: _doubles([o[f] for f in feats])))
+    out = _with_columns(rows, feats, [others.alias("__o")], make, [*[f"phi_{f}" for f in feats], "f_x", "f_background"])
+    return out.select(*ids, *[f"phi_{f}" for f in feats], "f_x", "f_background")
 
 
 def concentration_topk(importances: DataFrame, k: int = 5, by: Sequence[str] = (), fold: str = "fold_id", value: str = "importance") -> DataFrame:
@@ -175,32 +304,39 @@ def fold_topk_jaccard(importances: DataFrame, k: int = 5, by: Sequence[str] = ()
     return seq.groupBy(*by).agg(F.avg(j).alias("topk_jaccard"))
 
 
-def interpretation_report(df: DataFrame, features: Sequence[str], target: str, fit: DataFrame, repeats: int = 10, seed: int = 42,
-                          regimes: Mapping[str, tuple] = REGIMES) -> DataFrame:
-    """Tidy report of a linear champion: coefficients, permutation, attribution, regime, season."""
-    from .modelling import coefficient_table
-
-    phi = reuse(linear_shap(complete(df, [*features, target]), features, fit))
-    parts = [
-        coefficient_table(fit, features).select(F.lit("coefficient").alias("section"), F.lit("all").alias("part"), "feature", F.col("coefficient").alias("value")),
-        permutation_importance(df, features, target, fit, repeats, seed).select(F.lit("permutation").alias("section"), F.lit("all").alias("part"), "feature", F.col("importance_mean").alias("value")),
+def _sections(phi: DataFrame, features: Sequence[str], regimes: Mapping[str, tuple]) -> list[DataFrame]:
+    """Attribution over all rows, by regime and by season, from one table of values."""
+    return [
         mean_abs_importance(phi, features).select(F.lit("attribution").alias("section"), F.lit("all").alias("part"), "feature", F.col("importance").alias("value")),
         importance_by_regime(phi, features, regimes).select(F.lit("regime").alias("section"), F.col("regime").alias("part"), "feature", F.col("importance").alias("value")),
         importance_by_season(phi, features).select(F.lit("season").alias("section"), F.col("quarter").alias("part"), "feature", F.col("importance").alias("value")),
     ]
+
+
+def _report(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for t in parts[1:]:
         out = out.unionByName(t)
     return out
 
 
-def tree_report(df: DataFrame, features: Sequence[str], model, ids: Sequence[str] = ("period",), permutations: int = 3, seed: int = 42,
+def interpretation_report(df: DataFrame, features: Sequence[str], target: str, fit: DataFrame, ids: Sequence[str], repeats: int = 10, seed: int = 42,
+                          regimes: Mapping[str, tuple] = REGIMES) -> DataFrame:
+    """Tidy report of a linear champion: coefficients, permutation, attribution, regime, season."""
+    from .modelling import coefficient_table
+
+    phi = linear_shap(complete(df, [*features, target]), features, fit)
+    return _report([
+        coefficient_table(fit, features).select(F.lit("coefficient").alias("section"), F.lit("all").alias("part"), "feature", F.col("coefficient").alias("value")),
+        permutation_importance(df, features, target, fit, ids, repeats, seed).select(F.lit("permutation").alias("section"), F.lit("all").alias("part"), "feature", F.col("importance_mean").alias("value")),
+        *_sections(phi, features, regimes)])
+
+
+def tree_report(df: DataFrame, features: Sequence[str], target: str, model: TreeModel, ids: Sequence[str], repeats: int = 10, seed: int = 42,
                 regimes: Mapping[str, tuple] = REGIMES) -> DataFrame:
-    """The same tidy report for a tree champion, from sampled attributions."""
-    long = reuse(sampled_shapley(df, features, model, ids, permutations, seed))
-    total = _shares(long, []).select(F.lit("attribution").alias("section"), F.lit("all").alias("part"), "feature", F.col("importance").alias("value"))
-    reg = _shares(long.withColumn("regime", F.explode(regime_of(regimes))), ["regime"], 5).select(
-        F.lit("regime").alias("section"), F.col("regime").alias("part"), "feature", F.col("importance").alias("value"))
-    sea = _shares(long.withColumn("quarter", season_label(F.col("period"))), ["quarter"], 3).select(
-        F.lit("season").alias("section"), F.col("quarter").alias("part"), "feature", F.col("importance").alias("value"))
-    return total.unionByName(reg).unionByName(sea)
+    """The same for a tree champion: importance by gain, permutation, exact attribution, regime, season."""
+    spark = df.sparkSession
+    phi = settle(tree_shap(df.select("period", *features), features, model).select("period", *[f"phi_{f}" for f in features]))
+    gains = spark.createDataFrame([("importance", "all", f, float(v)) for f, v in zip(model.features, model.importances())], "section string, part string, feature string, value double")
+    return _report([gains, permutation_importance(df, features, target, model, ids, repeats, seed).select(F.lit("permutation").alias("section"), F.lit("all").alias("part"), "feature", F.col("importance_mean").alias("value")),
+                    *_sections(phi, features, regimes)])

@@ -5,7 +5,7 @@
 * ``prefix_sums``    – cumulative sums in two levels (inside blocks, over blocks)
 * ``quantiles``      – exact interpolated quantiles by bracketing
 * ``value_ranks``    – exact ranks of all values without a global sort task
-* ``dense_ordinals`` – row numbers 0..n-1 without a global sort
+* ``permuted``       – a keyed permutation of columns that does not depend on the layout
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import durable, reuse, settle
+from ..session import reuse, settle
 
 BLOCK = 4096       # ordinals per block of a long series
 BUCKETS = 1024     # brackets used to locate quantiles and ranks (a power of two)
@@ -202,39 +202,27 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), descending:
     return null_safe(ranked, table, [*by, "__v"], "left").withColumn(name, rank).drop("__v", "ties", "below")
 
 
-def dense_ordinals(df: DataFrame, name: str = "row_ord") -> tuple[DataFrame, int]:
-    """Number the rows 0..n-1 and return (table, n).
+PERMUTED = 4096    # rows of a bucket that exchange their values, about
 
-    Row ids are pinned by a reliable checkpoint before they are used, so a lost
-    executor cannot renumber them. Partition offsets are the only global state.
-    """
-    pinned = durable(df.withColumn("__id", F.monotonically_increasing_id()))
-    part = F.shiftright("__id", 33)
-    sizes = pinned.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__c"))
-    run = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("__p", F.coalesce(F.sum("__c").over(run), F.lit(0)).alias("__o"))
-    n = pinned.count()
-    out = pinned.withColumn("__p", part).join(offsets, "__p").withColumn(
-        name, F.col("__o") + F.col("__id").bitwiseAND((1 << 33) - 1))
-    return out.drop("__p", "__o", "__id"), n
-
-
-def partner_rows(df: DataFrame, cols: Sequence[str], n: int, seed: int, row_ord: str = "row_ord",
-                 prefix: str = "p_") -> DataFrame:
-    """Pair every row with another one through a seeded bijection of 0..n-1.
-
-    ``i -> (a·i + b) mod n`` with ``a`` coprime to ``n`` near the golden section
-    spreads partners evenly; the pairing is one equi-join.
+
+def permuted(df: DataFrame, cols: Sequence[str], ids: Sequence[str], repeats: int = 1, seed: int = 42, only: int | None = None, name: str = "__p") -> DataFrame:
+    """Every row with the values of ``cols`` of another row: a struct ``name`` (an array of ``repeats`` structs without ``only``).
+
+    A digest of the row's ``ids`` deals rows to buckets of about PERMUTED; inside a bucket repeat r orders rows by the digest
+    of ids, seed and r, and each takes the values of the next one, the last those of the first. So a result depends on the
+    rows alone, not on how they lie, every value is used once, and no row number or join is needed. ``only`` gives one repeat.
+    Rows of equal ids are ordered by their values.
     """
-    import math
-    import random
-
-    rnd = random.Random(seed)
-    a = max(1, int(n * (0.6180339887 + 0.1 * (rnd.random() - 0.5))))
-    while math.gcd(a, n) != 1:
-        a += 1
-    b = rnd.randrange(n) if n else 0
-    # a·i may pass 2^63 for very long tables, so the product is taken as DECIMAL.
-    target = ((F.col(row_ord).cast("decimal(20,0)") * F.lit(a).cast("decimal(18,0)") + F.lit(b)) % F.lit(n).cast("decimal(20,0)")).cast("bigint")
-    right = df.select(F.col(row_ord).alias("__o"), *[F.col(c).alias(prefix + c) for c in cols])
-    return df.withColumn("__o", target).join(right, "__o").drop("__o")
+    cols = list(cols)
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids])
+    buckets = max(1, -(-df.count() // PERMUTED))
+    bucket = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % buckets
+    dealt = df.withColumn("__bucket", bucket)
+    values = F.struct(*[F.col(c) for c in cols])
+
+    def partner(r: int) -> Column:
+        w = W.partitionBy("__bucket").orderBy(F.md5(F.concat_ws("|", key, F.lit(str(seed)), F.lit(str(r)))), *cols)
+        return F.coalesce(F.lead(values).over(w), F.first(values).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    got = partner(only) if only is not None else F.array(*[partner(r) for r in range(repeats)])
+    return dealt.withColumn(name, got).drop("__bucket")

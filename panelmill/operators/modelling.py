@@ -6,14 +6,13 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .distributed import null_safe
 from .folds import fold_periods
 from .gram import Gram, Moments, complete, gram, per_group, prefix_gram, windows_of
+from .trees import TreeModel, fit_trees, fit_units, predict_by
 
 
 def ridge_solve(m: Moments, feats: Sequence[int], y: int, alpha: float = 1.0, standardize: bool = True):
@@ -132,43 +131,40 @@ def backtest_ridge(df: DataFrame, target: str, features: Sequence[str], plan: Da
                          F.col(target).alias("actual"), linear_score(features).alias("predicted"))
 
 
-def tree_estimator(kind: str, seed: int = 42, **params):
-    """Random forest or gradient boosting of Spark ML with the usual defaults.
+def backtest_tree(df: DataFrame, target: str, features: Sequence[str], plan: DataFrame, kind: str = "random_forest", keys: Sequence[str] = (),
+                  seed: int = 42, candidates: Sequence[Mapping] | None = None, cuts: Sequence[np.ndarray] | None = None, max_series: int = 1000, **params) -> DataFrame:
+    """Refit per key and distinct train window, and predict the test rows of all folds; see ``trees.fit_units``.
 
-    forest: 100 trees, depth 10, leaf of 2. gbt: 100 rounds, rate 0.1, depth 5.
+    All windows, keys and ``candidates`` (parameter sets; the rows then have a column ``cand``) grow in the same passes, and
+    rows are scored where they lie. With ``keys`` every series has its own models; more than ``max_series`` are an error,
+    as models are held on the driver. A series without train rows in a window has no prediction there.
     """
-    if kind == "random_forest":
-        p = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2, **params}
-        return RandomForestRegressor(featuresCol="__x", labelCol="__y", seed=seed, **p)
-    if kind == "gbt":
-        p = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, **params}
-        return GBTRegressor(featuresCol="__x", labelCol="__y", seed=seed, **p)
-    raise ValueError(f"unknown tree model {kind!r}")
-
-
-def vectors(df: DataFrame, features: Sequence[str], target: str | None = None) -> DataFrame:
-    cols = [*features, *([target] if target else [])]
-    out = VectorAssembler(inputCols=list(features), outputCol="__x").transform(complete(df, cols))
-    return out.withColumn("__y", F.col(target).cast("double")) if target else out
-
-
-def fit_tree(df: DataFrame, target: str, features: Sequence[str], kind: str = "random_forest", seed: int = 42, **params):
-    return tree_estimator(kind, seed, **params).fit(vectors(df, features, target).select("__x", "__y"))
-
-
-def backtest_tree(df: DataFrame, target: str, features: Sequence[str], plan: DataFrame, kind: str = "random_forest", keys: Sequence[str] = (),
-                  seed: int = 42, **params) -> DataFrame:
-    """One distributed fit per distinct train window, scored on the test rows of all its folds."""
-    data = vectors(df, features, target).select(*keys, "period", "ord", "__x", "__y").persist()
-    out = None
-    periods = fold_periods(plan)
-    for start, end in windows_of(plan):
-        model = tree_estimator(kind, seed, **params).fit(data.where(F.col("ord").between(start, end)).select("__x", "__y"))
-        test = data.join(periods.where(F.col("train_end_ord") == end), "ord")
-        scored = model.transform(test).select(*keys, F.lit(kind).alias("model"), "fold_id", "horizon", "period",
-                                              F.col("__y").alias("actual"), F.col("prediction").alias("predicted"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    rows = complete(df.select(*dict.fromkeys([*keys, "period", "ord", target, *features])), [target, *features])
+    spark, windows = df.sparkSession, windows_of(plan)
+    shift, series = 1 << 40, 1
+    if keys:
+        names = rows.select(*keys).distinct().orderBy(*keys).limit(max_series + 1).collect()
+        if len(names) > max_series:
+            raise ValueError(f"more than {max_series} series")
+        series = max(1, len(names))
+        index = spark.createDataFrame([(*r, i) for i, r in enumerate(names)], ", ".join([*_key_fields(df, keys), "__k bigint"]))
+        rows = null_safe(rows, index, list(keys))
+    else:
+        rows = rows.withColumn("__k", F.lit(0).cast("bigint"))
+    sets = [dict(c) for c in candidates] if candidates is not None else [dict(params)]
+    units = [(k * shift + a, k * shift + b, c) for c in sets for k in range(series) for a, b in windows]
+    models = fit_units(rows.withColumn("ord", F.col("__k") * shift + F.col("ord")), target, features, units, kind, seed, cuts)
+    place = spark.createDataFrame([(e, i) for i, (_, e) in enumerate(windows)], "train_end_ord bigint, __w bigint")
+    tests = rows.join(fold_periods(plan).join(place, "train_end_ord"), "ord")
+    if candidates is not None:
+        tests = tests.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(len(sets) - 1))))
+        keys = ["cand", *keys]
+    which = (F.col("cand") * series if candidates is not None else F.lit(0)) * len(windows) + F.col("__k") * len(windows) + F.col("__w")
+    scored = predict_by(tests, {i: m for i, m in enumerate(models) if m is not None}, which, "predicted").where("predicted is not null")
+    return scored.select(*keys, F.lit(kind).alias("model"), "fold_id", "horizon", "period", F.col(target).cast("double").alias("actual"), "predicted")
+
+
+fit_tree = fit_trees   # one tree model on all rows
 
 
 def fit_final_ridge(df: DataFrame, target: str, features: Sequence[str], alpha: float = 1.0, by: Sequence[str] = (), engine: str = "auto") -> DataFrame:
@@ -195,6 +191,5 @@ def coefficient_table(fit: DataFrame, features: Sequence[str], by: Sequence[str]
     return rows.withColumn("abs_coefficient", F.abs("coefficient")).orderBy(*by, F.desc("abs_coefficient"), "feature")
 
 
-def tree_importance_table(spark, model, features: Sequence[str]) -> DataFrame:
-    imp = model.featureImportances.toArray()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
+def tree_importance_table(spark, model: TreeModel) -> DataFrame:
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(model.features, model.importances())], "feature string, importance double")

@@ -13,6 +13,7 @@ from ..session import reuse
 from .evaluate import HORIZON_WEIGHTS, horizon_weight
 from .gram import complete, moments_local, prefix_gram, windows_of
 from .modelling import backtest_tree, ridge_solve
+from .trees import BOOSTING, FOREST
 from .wrappers import score_candidates
 
 PENALTY = 0.1   # fixed value: weight of the spread of the horizon errors
@@ -84,21 +85,29 @@ def sweep_ridge(df: DataFrame, target: str, features: Sequence[str], plan: DataF
 
 
 def sweep_tree(df: DataFrame, target: str, features: Sequence[str], plan: DataFrame, kind: str, candidates: Sequence[Mapping], seed: int = 42,
-               weights: Mapping[int, float] = HORIZON_WEIGHTS, penalty: float = PENALTY) -> DataFrame:
-    """The same for tree models: one distributed fit per candidate and train window; a failed fit scores infinity."""
+               weights: Mapping[int, float] = HORIZON_WEIGHTS, penalty: float = PENALTY, cuts: Sequence | None = None) -> DataFrame:
+    """The same for tree models: all candidates and train windows grow in the same passes.
+
+    A candidate whose parameters are not known or out of range scores infinity.
+    """
     horizons = [r[0] for r in plan.select("horizon").distinct().collect()]
-    rows, out = reuse(df), None
-    for i, params in enumerate(candidates):
-        label = ", ".join(f"{k}={v}" for k, v in params.items())
-        try:
-            preds = backtest_tree(rows, target, features, plan, kind, (), seed, **params)
-            mae = preds.groupBy("fold_id", "horizon").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"))
-            one = fitness(mae.select(F.lit(i).alias("cand"), F.lit(label).alias("params"), "horizon", "mae"), ["cand", "params"], horizons, weights, penalty)
-        except Exception:  # noqa: BLE001 — the search goes on without this candidate
-            one = df.sparkSession.createDataFrame([(i, label, None, None, float("inf"))],
-                                                  "cand int, params string, weighted_mae double, horizon_spread_penalty double, fitness double")
-        out = one if out is None else out.unionByName(one)
-    return out
+    label = [", ".join(f"{k}={v}" for k, v in c.items()) for c in candidates]
+    sound = [i for i, c in enumerate(candidates) if _sound(kind, c)]
+    spark = df.sparkSession
+    named = spark.createDataFrame(list(enumerate(label)), "cand int, params string")
+    if not sound:
+        return named.select("cand", "params", F.lit(None).cast("double").alias("weighted_mae"), F.lit(None).cast("double").alias("horizon_spread_penalty"), F.lit(float("inf")).alias("fitness"))
+    preds = backtest_tree(df, target, features, plan, kind, (), seed, [candidates[i] for i in sound], cuts)
+    place = F.array(*[F.lit(i) for i in sound])
+    mae = preds.groupBy(F.get(place, F.col("cand")).alias("cand"), "fold_id", "horizon").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("mae"))
+    scored = fitness(mae, ["cand"], horizons, weights, penalty)
+    return named.join(scored, "cand", "left").withColumn("fitness", F.coalesce("fitness", F.lit(float("inf"))))
+
+
+def _sound(kind: str, params: Mapping) -> bool:
+    """Whether the parameters are known, positive and of a depth up to 16."""
+    known = FOREST if kind == "random_forest" else BOOSTING
+    return all(k in known and isinstance(v, (int, float)) and v > 0 for k, v in params.items()) and 1 <= params.get("depth", 1) <= 16
 
 
 def sweep_history(scores: DataFrame, batch: int, order: str = "cand", by: Sequence[str] = ()) -> DataFrame:

@@ -116,12 +116,12 @@ def rfe_ridge(df: DataFrame, features: Sequence[str], target: str, keep: int = 1
 
 def rfe_forest(df: DataFrame, features: Sequence[str], target: str, keep: int = 10, seed: int = 42, **params) -> DataFrame:
     """The same with forest importances (50 trees of depth 5): one fit per step."""
-    p = {"numTrees": 50, "maxDepth": 5, **params}
+    p = {"trees": 50, "depth": 5, **params}
     rows = reuse(complete(df.select(*features, target), [*features, target]))
     alive, rank = list(features), {f: 1 for f in features}
     while len(alive) > keep:
         model = fit_tree(rows, target, alive, "random_forest", seed, **p)
-        worst = min(zip(model.featureImportances.toArray(), alive))[1]
+        worst = min(zip(model.importances(), alive))[1]
         rank[worst] = len(alive) - keep + 1
         alive.remove(worst)
     rows.unpersist()

@@ -67,12 +67,20 @@ def test_prefix_sums(spark):
     assert np.allclose(got["s"], d["v"].cumsum())
 
 
-def test_dense_ordinals_and_partners(spark):
-    df = spark.range(101).repartition(5).withColumn("x", F.col("id") * 2)
-    rows, n = X.dense_ordinals(df)
-    assert n == 101 and sorted(r[0] for r in rows.select("row_ord").collect()) == list(range(101))
-    p = X.partner_rows(rows, ["x"], n, 1).select("x", "p_x").toPandas()
-    assert sorted(p["x"]) == sorted(p["p_x"]) and (p["x"] != p["p_x"]).mean() > 0.9
+def test_permuted_does_not_depend_on_the_layout(spark, monkeypatch):
+    df = spark.range(501).withColumn("x", F.col("id") * 2.0)
+    monkeypatch.setattr(X, "PERMUTED", 100)
+    found = []
+    for n in (1, 4, 37):
+        rows = X.permuted(df.repartition(n), ["x"], ["id"], 3).collect()
+        found.append(sorted((r["id"], *[o["x"] for o in r["__p"]]) for r in rows))
+    assert found[0] == found[1] == found[2]
+    for r in range(3):
+        other = [row[1 + r] for row in found[0]]
+        assert sorted(other) == [2.0 * i for i in range(501)] and np.mean([o != 2 * row[0] for o, row in zip(other, found[0])]) > 0.95
+    assert len({tuple(row[1:]) for row in found[0]}) > 490
+    alone = {r["id"]: r["__p"]["x"] for r in X.permuted(df, ["x"], ["id"], 1, only=2).collect()}
+    assert alone == {row[0]: row[3] for row in found[0]}
 
 
 def test_mad_zero(spark):
