@@ -186,12 +186,67 @@ def test_wrapper_matches_optional_and_repeated():
     assert kinds["p"] == (1, wrapper.MANY) and kinds["b"] == (0, 1) and kinds["i"] == (0, 1)
 
 
-def test_branches_locate_edits():
-    text = "One line here.\nAnother line.\n\nSecond section.\nIts last line."
-    other = text.replace("Another line", "A changed line")
-    a, b = (merkle.encode(t, merkle.tree(t)) for t in (text, other))
-    assert merkle.edits(a, b) == [(0, 1)] and merkle.edits(a, a) == []
-    assert merkle.likeness(*merkle.decode(a), *merkle.decode(b)) == pytest.approx(6 / 8)
+def slow_tree(text):
+    """Sections of paragraphs of leaves as texts, cut character by character."""
+    paragraphs = [p for p in (x + "\n" for x in text.split("\n")[:-1])] + ([text.split("\n")[-1]] if text.split("\n")[-1] else [])
+    sections = []
+    for k, p in enumerate(paragraphs):
+        leaves, word, count = [""], "", 0
+        for i, c in enumerate(p):
+            space, begins = c in " \t\n\r\x0b\x0c", i and p[i - 1] in " \t\n\r\x0b\x0c"
+            if not space and begins and word and (count == 8 or word[-1] in ".!?;:"):
+                leaves.append("")
+                count = 0
+            if not space and (begins or not i):
+                count += 1
+                word = ""
+            if not space:
+                word += c
+            leaves[-1] += c
+        if not k or p.strip(" \t\n\r\x0b\x0c") and not paragraphs[k - 1].strip(" \t\n\r\x0b\x0c"):
+            sections.append([])
+        sections[-1].append(leaves)
+    return sections
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_merkle_nodes_hash_their_children(seed):
+    """Digests of leaves, paragraphs, sections and root by definition; the fingerprint reads back."""
+    import hashlib
+
+    import xxhash
+
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["ab", "C.", "é!", " ", "  ", "\n", "\n\n", "x y ", ";", "a.b ", "\t"]) for _ in range(rng.randint(0, 120)))
+    cut = slow_tree(text)
+    assert "".join(x for s in cut for p in s for x in p) == text
+    root, sections = merkle.tree(text)
+    digest = lambda parts, level: xxhash.xxh3_64_hexdigest("".join(parts), seed=level)
+    for (sd, ps), s in zip(sections, cut, strict=True):
+        for (pd, leaves), p in zip(ps, s, strict=True):
+            assert list(leaves) == [xxhash.xxh3_64_hexdigest(x.encode()) for x in p] and pd == digest(leaves, 1)
+        assert sd == digest([p[0] for p in ps], 2)
+    assert root == hashlib.blake2b("".join(s[0] for s in sections).encode(), digest_size=16).hexdigest()
+    assert merkle.decode(merkle.encode((root, sections))) == (root, sections)
+    assert merkle.likeness((root, sections), merkle.tree(text)) == 1.0
+
+
+def test_merkle_tree_locates_edits():
+    lines = ["One line here.", "Another line of more than eight words that is two leaves long", "", "Second section.", "Its last line."]
+    text = "\n".join(lines)
+    mark = lambda other: merkle.edits(merkle.encode(merkle.tree(text)), merkle.encode(merkle.tree(other)))
+    near = lambda other: merkle.likeness(merkle.tree(text), merkle.tree(other))
+    assert mark(text) == [] and near(text) == 1.0
+    word = text.replace("two leaves", "both leaves")
+    assert mark(word) == [("removed", (0, 1, 1), None), ("added", None, (0, 1, 1))] and near(word) == pytest.approx(10 / 12)
+    blanks = text.replace("section.", "section.  ")
+    assert mark(blanks) == [("removed", (1, 0, 0), None), ("added", None, (1, 0, 0))] and near(blanks) < 1
+    swapped = "\n".join([lines[1], lines[0], *lines[2:]])
+    assert near(swapped) == 1.0 and merkle.tree(swapped)[0] != merkle.tree(text)[0]
+    assert {k for k, *_ in mark(swapped)} == {"moved"} and len(mark(swapped)) == 1
+    longer = text + "\n\nA third section."
+    assert ("added", None, (2,)) in mark(longer) and near(longer) < 1
+    assert mark("") == [("removed", (0,), None), ("removed", (1,), None)] and near("") == 0.0
 
 
 def test_chunks_are_content_defined():

@@ -148,8 +148,8 @@ def test_merkle(spark, folder, texts):
         own, following = t or "", order[(k + 1) % len(order)][1] or ""
         n = len(own)
         changed = own[:n - n // 2] + following[:n // 2]
-        fps = [merkle.encode(x, merkle.tree(x)) for x in (own, changed, following)]
-        near = [merkle.likeness(*merkle.decode(fps[0]), *merkle.decode(x)) for x in fps[1:]]
+        fps = [merkle.encode(merkle.tree(x)) for x in (own, changed, following)]
+        near = [merkle.likeness(merkle.decode(fps[0]), merkle.decode(x)) for x in fps[1:]]
         want.append((d, n, hashlib.sha256(changed.encode()).hexdigest(), fps[0], fps[1], *near))
     got = registry.op7_merkle_fingerprint(spark, folder).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
     assert bag(got) == bag(want)
