@@ -110,7 +110,16 @@ def n4(spark, sf):
     return E.fs_nonlinear(rows, LINE_FEATURES, "target", line_plan(rows))
 
 
-@query("t1_mutual_info", "feature:s mi_score:4 mi_normalized:4 selected:b")
+RANKED = ", ".join(f"rank() OVER (ORDER BY {c}) - 1 AS b_{c}, count(*) OVER (PARTITION BY {c}) AS t_{c}" for c in [*LINE_FEATURES, "target"])
+BIN = lambda c: f"CAST(floor(16*(2*b_{c} + t_{c} - 1)/(2*n)) AS BIGINT)"
+CELLS = " UNION ALL ".join(f"SELECT '{c}' AS feature, {BIN(c)} AS bx, {BIN('target')} AS bz, count(*) AS c FROM rk GROUP BY ALL" for c in LINE_FEATURES)
+
+
+@query("t1_mutual_info", "feature:s mi_score:8 mi_normalized:8 selected:b", f"""
+WITH {LINE_ROWS}, rk AS (SELECT {RANKED}, count(*) OVER () AS n FROM lr), c AS ({CELLS}),
+p AS (SELECT *, sum(c) OVER (PARTITION BY feature) AS n, sum(c) OVER (PARTITION BY feature, bx) AS px, sum(c) OVER (PARTITION BY feature, bz) AS py FROM c),
+m AS (SELECT feature, sum(c/n*ln(c*n/(px*py))) AS mi_score FROM p GROUP BY 1)
+SELECT *, mi_score/max(mi_score) OVER () AS mi_normalized, row_number() OVER (ORDER BY mi_score DESC) <= 5 AS selected FROM m""")
 def t1(spark, sf):
     return T.mutual_info(line_rows(spark, sf), LINE_FEATURES, "target", top_k=5)
 

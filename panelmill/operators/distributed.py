@@ -3,7 +3,8 @@
 * ``attach_stats``   – per-group statistics put back on the rows
 * ``Blocks``         – window functions over a long series cut into ordinal blocks
 * ``prefix_sums``    – cumulative sums in two levels (inside blocks, over blocks)
-* ``quantiles``      – exact interpolated quantiles by bracketing
+* ``running_before`` – running sums in a global order by a sample sort
+* ``quantiles``      – exact interpolated quantiles between sketched brackets
 * ``value_ranks``    – exact ranks of all values without a global sort task
 * ``permuted``       – a keyed permutation of columns that does not depend on the layout
 """
@@ -13,14 +14,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import reuse, settle
+from ..session import settle
 
 BLOCK = 4096       # ordinals per block of a long series
-BUCKETS = 1024     # brackets used to locate quantiles and ranks (a power of two)
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -112,60 +114,83 @@ def to_long(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (),
     return wide.unpivot(list(ids), list(cols), name, value)
 
 
-def _place(df: DataFrame, value: str, edges: str, name: str = "__b") -> DataFrame:
-    """Number of edges below ``value``: a binary search unrolled into ten projections.
+ROWS_A_RANGE = 1_000_000   # rows of a range of a sorted table, about
 
-    Each step refers to the one before twice, so Catalyst keeps the projections
-    apart and the search compiles into one generated loop without lambdas.
+
+def running_before(table: DataFrame, keys: Sequence[str], order: Sequence, weight: str, name: str = "before") -> DataFrame:
+    """Add to every row the sum of ``weight`` over the rows of its keys that come earlier in ``order``.
+
+    A sample sort: rows go to ranges of (keys, order) whose number grows with the table, each task adds up its sorted range,
+    and one number a range, and then one a key, closes the gaps. No group is sorted as a whole, however large; rows of equal
+    keys and order must be one row.
     """
-    out = df.withColumn(name, F.lit(0))
-    for k in range(1, BUCKETS.bit_length()):
-        s = BUCKETS >> k
-        out = out.withColumn(name, F.col(name) + F.when(F.get(edges, F.col(name) + (s - 1)) < F.col(value), s).otherwise(0))
-    return out
+    keys = list(keys)
+    pinned = settle(table)   # the ranges are sampled from it before they are made
+    ranges = max(int(pinned.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pinned.count() // ROWS_A_RANGE))
+    by = [*[F.col(k) for k in keys], *order]
+    placed = pinned.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__pid", F.spark_partition_id())
+    names, at = [*placed.columns, "__local"], placed.columns.index(weight)
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            w = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.cumsum(w)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - w + total)], names=names)
+            total += int(upto[-1]) if len(upto) else 0
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
+    local = settle(placed.mapInArrow(run, f"{kinds}, __local bigint"))
+    sizes = local.groupBy("__pid").agg(F.max(F.col("__local") + F.col(weight)).alias("__t"))
+    over = W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = settle(sizes.select("__pid", F.coalesce(F.sum("__t").over(over), F.lit(0)).alias("__o")))
+    summed = local.join(offsets, "__pid").withColumn("__g", F.col("__o") + F.col("__local")).drop("__pid", "__o", "__local")
+    if not keys:
+        return summed.withColumnRenamed("__g", name)
+    starts = settle(summed.groupBy(*keys).agg(F.min("__g").alias("__first")))
+    return null_safe(summed, starts, keys).withColumn(name, F.col("__g") - F.col("__first")).drop("__g", "__first")
 
 
-def _edges(value: str) -> Column:
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    return F.percentile_approx(value, cuts, 4 * BUCKETS)
+ACCURACY = 2000   # of the sketch that brackets a quantile
+MARGIN = 4        # brackets reach this many times its error to either side
 
 
 def quantiles(long: DataFrame, probs: Sequence[float], by: Sequence[str] = ("variable",),
               value: str = "value") -> DataFrame:
     """Exact quantiles with linear interpolation: ``(by…, n, q ARRAY)``.
 
-    A sketch gives 1,023 bracket edges per group; counting rows per bracket
-    tells which brackets hold the wanted ranks, and only the rows of those are
-    shuffled and sorted. Equal values are merged with their count first, so a
-    value that fills half the table is one row.
+    A mergeable sketch gives two edges around each wanted rank. One pass keeps the values inside these brackets, merged with
+    their count, and counts the others by the gap between edges that they fall in; running sums over that small table name
+    the exact values. Edges are written first, so rows are not shuffled where they are few. A value that fills half of the
+    table is one row.
     """
     by = list(by)
-    rows = long.where(F.col(value).isNotNull()).select(*by, value)
-    # both lookup tables are written first: their known size lets the planner
-    # broadcast them or not, without shuffling the rows to find out
-    edges = settle(rows.groupBy(*by).agg(_edges(value).alias("__e"), F.count(F.lit(1)).alias("__n")))
-    placed = _place(null_safe(rows, edges, by), value, "__e").select(*by, value, "__n", "__b")
-    counts = placed.groupBy(*by, "__n", "__b").agg(F.count(F.lit(1)).alias("__c"))
-    run = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(run), F.lit(0)))
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
-                 (F.floor(p * (F.col("__n") - 1)) if side == 0 else F.ceil(p * (F.col("__n") - 1))).alias("r"))
-        for i, p in enumerate(probs) for side in (0, 1)])
+    rows = long.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias(value))
+    cuts = sorted({min(1.0, max(0.0, p + side * MARGIN / ACCURACY)) for p in probs for side in (-1, 1)})
+    edges = settle(rows.groupBy(*by).agg(F.percentile_approx(value, cuts, ACCURACY).alias("__e"), F.count(F.lit(1)).alias("__n"), F.min(value).alias("__min"), F.max(value).alias("__max")))
+    pairs = []
+    for p in probs:
+        low, high = (min(1.0, max(0.0, p + side * MARGIN / ACCURACY)) for side in (-1, 1))
+        lo = F.col("__min") if low == 0.0 else F.get("__e", F.lit(cuts.index(low)))
+        hi = F.col("__max") if high == 1.0 else F.get("__e", F.lit(cuts.index(high)))
+        pairs.append((lo, hi))
+    bounds = settle(edges.select(*by, "__n", *[c.alias(f"__{s}{i}") for i, pair in enumerate(pairs) for s, c in zip("lh", pair)]))
+    met = null_safe(rows, bounds, by) if by else rows.join(bounds)   # without keys: one row
+    v = F.col(value)
+    inside = reduce(lambda a, b: a | b, [v.between(F.col(f"__l{i}"), F.col(f"__h{i}")) for i in range(len(probs))])
+    steps = [F.when(F.col(f"__{s}{i}") <= v, F.col(f"__{s}{i}")) for i in range(len(probs)) for s in "lh"]
+    key = F.when(inside, v).otherwise(F.coalesce(F.greatest(*steps), F.lit(float("-inf"))))
+    counts = met.groupBy(*by, key.alias("__k"), inside.alias("__in")).agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
+    sums = running_before(counts, by, [F.col("__k"), F.col("__in").desc()], "__c", "__before")
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (F.floor if side == 0 else F.ceil)(p * (F.col("__n") - 1)).alias("r"))
+                      for i, p in enumerate(probs) for side in (0, 1)])
     hits = F.filter(ranks, lambda t: (t["r"] >= F.col("__before")) & (t["r"] < F.col("__before") + F.col("__c")))
-    wanted = settle(counts.withColumn("__hits", hits).where(F.size("__hits") > 0).select(*by, "__b", "__n", "__before", "__hits"))
-    inside = null_safe(placed.drop("__n"), wanted.select(*by, "__b"), [*by, "__b"], "left_semi")
-    vc = inside.groupBy(*by, "__b", value).agg(F.count(F.lit(1)).alias("__c"))
-    upto = W.partitionBy(*by, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    vc = null_safe(vc.withColumn("__in", F.coalesce(F.sum("__c").over(upto), F.lit(0))), wanted, [*by, "__b"])
-    start = F.col("__before") + F.col("__in")
-    found = vc.withColumn("__t", F.explode("__hits")).where(
-        (F.col("__t.r") >= start) & (F.col("__t.r") < start + F.col("__c")))
+    found = sums.withColumn("__t", F.explode(hits)).withColumn("__v", F.when(F.col("__in"), F.col("__k")).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")))
     aggs = []
     for i, p in enumerate(probs):
         pos = p * (F.first("__n") - 1)
-        lo = F.max(F.when((F.col("__t.i") == i) & (F.col("__t.side") == 0), F.col(value)))
-        hi = F.max(F.when((F.col("__t.i") == i) & (F.col("__t.side") == 1), F.col(value)))
+        lo = F.max(F.when((F.col("__t.i") == i) & (F.col("__t.side") == 0), F.col("__v")))
+        hi = F.max(F.when((F.col("__t.i") == i) & (F.col("__t.side") == 1), F.col("__v")))
         aggs.append(lo + (hi - lo) * (pos - F.floor(pos)))
     return found.groupBy(*by).agg(F.first("__n").alias("n"), F.array(*aggs).alias("q"))
 
@@ -173,22 +198,10 @@ def quantiles(long: DataFrame, probs: Sequence[float], by: Sequence[str] = ("var
 def value_ranks(long: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """``(by…, value, ties, below)``: how many rows lie below each distinct value.
 
-    The average rank of a value is ``below + (ties + 1) / 2``. Brackets from a
-    sketch replace the single-task sort of a window over the whole group.
+    The average rank of a value is ``below + (ties + 1) / 2``. Distinct values are counted first and then sorted by ranges.
     """
-    keys = list(by) or ["__all"]
-    src = long if by else long.withColumn("__all", F.lit("x"))
-    vc = reuse(src.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties")))
-    edges = settle(vc.groupBy(*keys).agg(_edges(value).alias("__e")))
-    placed = _place(null_safe(vc, edges, keys), value, "__e").select(*keys, value, "ties", "__b")
-    run = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    before = placed.groupBy(*keys, "__b").agg(F.sum("ties").alias("__c")).select(
-        *keys, "__b", F.coalesce(F.sum("__c").over(run), F.lit(0)).alias("__before"))
-    inner = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    out = null_safe(placed, before, [*keys, "__b"]).select(
-        *keys, value, "ties",
-        (F.col("__before") + F.coalesce(F.sum("ties").over(inner), F.lit(0))).alias("below"))
-    return out if by else out.drop("__all")
+    counted = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
+    return running_before(counted, by, [F.col(value)], "ties", "below").select(*by, value, "ties", "below")
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), descending: bool = False,

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .distributed import null_safe
 from .folds import fold_periods
 from .gram import Gram, Moments, complete, gram, per_group, prefix_gram, windows_of
@@ -125,7 +126,8 @@ def backtest_ridge(df: DataFrame, target: str, features: Sequence[str], plan: Da
     rows = complete(df.select(*dict.fromkeys([*keys, *carry, "period", "ord", target, *features])), [target, *features])
     fits = ridge_fits(rows, target, features, windows_of(plan), keys, options, alphas, engine)
     tests = rows.join(fold_periods(plan), "ord")
-    slim = fits.select(*keys, "train_end_ord", "fs_option", "alpha", "intercept", "beta")
+    # written first, so that its size is known and the test rows need not be shuffled to meet it
+    slim = settle(fits.select(*keys, "train_end_ord", "fs_option", "alpha", "intercept", "beta"))
     scored = null_safe(tests, slim, [*keys, "train_end_ord"])
     return scored.select(*dict.fromkeys([*keys, *carry]), F.lit(model).alias("model"), "fs_option", "alpha", "fold_id", "horizon", "period",
                          F.col(target).alias("actual"), linear_score(features).alias("predicted"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settle
 from .distributed import BLOCK, attach_stats, null_safe, quantiles, to_long
 
 NULL_DOUBLE = "CAST(NULL AS DOUBLE)"
@@ -73,8 +74,9 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], k: float = 1.5, by: Sequence[
 
 
 def _flagged(df, cols, by, bounds):
+    """Values beside their group's fences, which are written first: rows stay in place where the planner sees that they are few."""
     return null_safe(to_long(df, cols, by).where(F.col("value").isNotNull()),
-                     bounds.select(*by, "variable", "lower", "upper"), [*by, "variable"])
+                     settle(bounds.select(*by, "variable", "lower", "upper")), [*by, "variable"])
 
 
 def _outlier_summary(long: DataFrame, flag, by: Sequence[str]) -> DataFrame:
@@ -98,7 +100,7 @@ def outlier_rows(df: DataFrame, cols: Sequence[str], row_keys: Sequence[str], k:
     bounds = iqr_bounds(df, cols, k, by)
     ids = [*by, *[r for r in row_keys if r not in by]]
     long = to_long(df, cols, ids).where(F.col("value").isNotNull())
-    hit = null_safe(long, bounds.select(*by, "variable", "lower", "upper"), [*by, "variable"])
+    hit = null_safe(long, settle(bounds.select(*by, "variable", "lower", "upper")), [*by, "variable"])
     return hit.where((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))
 
 
@@ -121,8 +123,8 @@ def outliers_mad(df: DataFrame, cols: Sequence[str], cutoff: float = 3.5, by: Se
     """Counts of modified z-scores above the cutoff; 0 where the MAD is 0."""
     keys = [*by, "variable"]
     long = to_long(df, cols, by).where(F.col("value").isNotNull())
-    dev = null_safe(long, medians(long, keys), keys).withColumn("__d", F.abs(F.col("value") - F.col("median")))
-    mad = medians(dev.select(*keys, F.col("__d").alias("value")), keys).withColumnRenamed("median", "mad")
+    dev = null_safe(long, settle(medians(long, keys)), keys).withColumn("__d", F.abs(F.col("value") - F.col("median")))
+    mad = settle(medians(dev.select(*keys, F.col("__d").alias("value")), keys).withColumnRenamed("median", "mad"))
     # Fixed value: 0.6745 scales the MAD to a normal standard deviation.
     score = F.when(F.col("mad") != 0, 0.6745 * F.col("__d") / F.nullif(F.col("mad"), F.lit(0.0)))
     out = null_safe(dev, mad, keys).groupBy(*keys).agg(
