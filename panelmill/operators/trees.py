@@ -199,7 +199,8 @@ def _load(row, p: int, spans: Sequence[tuple[int, int]], boosting: bool) -> dict
     """A block as arrays, with the slice of every unit and, for boosting, its predictions so far."""
     n, order = row["n"], np.frombuffer(row["ord"], "<i8")
     cut = [(int(np.searchsorted(order, a)), int(np.searchsorted(order, b, side="right"))) for a, b in spans]
-    return {"x": np.frombuffer(row["x"], np.uint8), "first": np.arange(n) * p, "y": np.frombuffer(row["y"], "<f8"), "h": np.frombuffer(row["h"], "<u8"), "spans": cut,
+    x = np.frombuffer(row["x"], np.uint8)
+    return {"x": x, "columns": np.ascontiguousarray(x.reshape(n, p).T) if boosting else None, "first": np.arange(n) * p, "y": np.frombuffer(row["y"], "<f8"), "h": np.frombuffer(row["h"], "<u8"), "spans": cut,
             "f": [np.zeros(b - a) for a, b in cut] if boosting else None}
 
 
@@ -238,6 +239,7 @@ def _histograms(blocks: Iterable[dict], growing: Sequence[tuple], level: int, se
             else:
                 first, w, s = block["first"][a:b], None, block["y"][a:b] - block["f"][unit]
             place = active.take(descend(feature, cut, block["x"], first, level))
+            keep = None
             if (place < 0).any():
                 keep = np.flatnonzero(place >= 0)
                 first, place, s, w = first[keep], place[keep], s[keep], None if w is None else w[keep]
@@ -245,7 +247,10 @@ def _histograms(blocks: Iterable[dict], growing: Sequence[tuple], level: int, se
             total = out.setdefault(g, np.zeros((2, nodes, k, BINS)))
             cell = place * BINS
             for i in range(k):
-                column = block["x"].take(first + (i if k == features else slots[:, i].take(place))) + cell
+                if tree < 0:   # boosting takes all rows and features: columns as they lie
+                    column = cell + (block["columns"][i, a:b] if keep is None else block["columns"][i, a:b][keep])
+                else:
+                    column = block["x"].take(first + (i if k == features else slots[:, i].take(place))) + cell
                 total[0, :, i] += np.bincount(column, w, nodes * BINS).reshape(nodes, BINS)
                 total[1, :, i] += np.bincount(column, s, nodes * BINS).reshape(nodes, BINS)
     yield from out.items()
@@ -353,7 +358,7 @@ def fit_units(df: DataFrame, target: str, features: Sequence[str], units: Sequen
     wanted = max(table.rdd.getNumPartitions(), min(blocks, sc.defaultParallelism))
     rows = table.rdd if wanted == table.rdd.getNumPartitions() else table.repartition(wanted).rdd
     state = rows.map(lambda r: _load(r, p, spans, boosting)).persist(StorageLevel.MEMORY_AND_DISK)
-    partitions = max(1, min(sc.defaultParallelism, wanted))
+    partitions = max(1, min(sc.defaultParallelism, wanted, 2 if boosting else wanted))   # histograms of a boosting pass are few
     try:
         if boosting:
             sums = state.flatMap(lambda b: [(i, np.array([e - a, b["y"][a:e].sum()])) for i, (a, e) in enumerate(b["spans"]) if e > a]).reduceByKey(np.add).collectAsMap()
