@@ -10,7 +10,7 @@ from ..operators import linear as L
 from ..operators import profile as P
 from ..operators.quality import outliers_iqr
 from ..plans.panels import LINE_FEATURES, events_hour, line_rows, month_series, nation_aligned, nation_panel, table
-from .common import EVENTS_HOUR, LINE_ROWS, MONTH_SERIES, NATION_MONTH, query
+from .common import EVENTS_HOUR, LINE_ROWS, MONTH_SERIES, NATION_ALIGNED, NATION_MONTH, query
 
 COLS = ["l_quantity", "l_extendedprice", "unit_price", "s_acctbal", "target"]
 LONG = " UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS value FROM lr" for c in COLS)
@@ -48,6 +48,14 @@ def d4(spark, sf):
     return P.adf_test(nation_aligned(spark, sf), "y", ["n_name"])
 
 
+@query("d4_df_test", "n_name:s n:i lags:i statistic:6 is_stationary:b", f"""
+WITH {NATION_ALIGNED}, dl AS (SELECT n_name, y - lag(y) OVER w AS d, lag(y) OVER w AS l FROM na WINDOW w AS (PARTITION BY n_name ORDER BY ord)),
+r AS (SELECT n_name, count(*) AS n, regr_slope(d, l) AS b, regr_sxx(d, l) AS sxx, regr_syy(d, l) AS syy FROM dl WHERE d IS NOT NULL GROUP BY 1)
+SELECT n_name, n, 0 AS lags, b/sqrt((syy - b*b*sxx)/(n - 2)/sxx) AS statistic, b/sqrt((syy - b*b*sxx)/(n - 2)/sxx) < -2.86 AS is_stationary FROM r""")
+def d4b(spark, sf):
+    return P.adf_test(nation_aligned(spark, sf), "y", ["n_name"], lags=0)
+
+
 def _kpss(src, key, val, lags=4):
     k = f"PARTITION BY {key} " if key else ""
     g = "GROUP BY 1" if key else ""
@@ -69,10 +77,30 @@ WITH {EVENTS_HOUR}, sp AS (SELECT unnest(generate_series((SELECT min(period) FRO
 al AS (SELECT k.event_type, CAST(floor(epoch(sp.period)/3600) AS BIGINT) AS ord, coalesce(eh.n, 0) AS v FROM (SELECT DISTINCT event_type FROM eh) k CROSS JOIN sp LEFT JOIN eh ON eh.event_type = k.event_type AND eh.period = sp.period),
 {_kpss('al', 'event_type', 'v')} SELECT *, {KP} AS p_value, {KP} > .05 AS is_stationary FROM kp""")
 def d5(spark, sf):
+    return P.kpss_test(hours(spark, sf), "n", ["event_type"], lags=4)
+
+
+def hours(spark, sf):
     from ..operators.calendar import align_to_spine
 
-    panel = align_to_spine(events_hour(spark, sf), ["event_type"], "hour").na.fill(0.0, ["n"])
-    return P.kpss_test(panel, "n", ["event_type"])
+    return align_to_spine(events_hour(spark, sf), ["event_type"], "hour").na.fill(0.0, ["n"])
+
+
+@query("d5_kpss_test_auto", "event_type:s n:i lags:i statistic:6 p_value:6 is_stationary:b", f"""
+WITH {EVENTS_HOUR}, sp AS (SELECT unnest(generate_series((SELECT min(period) FROM eh), (SELECT max(period) FROM eh), INTERVAL 1 HOUR)) AS period),
+al AS (SELECT k.event_type, CAST(floor(epoch(sp.period)/3600) AS BIGINT) AS ord, coalesce(eh.n, 0) AS v FROM (SELECT DISTINCT event_type FROM eh) k CROSS JOIN sp LEFT JOIN eh ON eh.event_type = k.event_type AND eh.period = sp.period),
+de AS (SELECT event_type, ord, v - avg(v) OVER (PARTITION BY event_type) AS e FROM al),
+nn AS (SELECT event_type, count(*) AS n, sum(e*e) AS p0 FROM de GROUP BY 1),
+pr AS (SELECT a.event_type, a.ord - b.ord AS k, sum(a.e*b.e) AS p FROM de a JOIN de b ON a.event_type = b.event_type AND a.ord - b.ord BETWEEN 1 AND 200 GROUP BY ALL),
+se AS (SELECT event_type, n, p0, p0/n + coalesce(sum(p/(n/2.0)) FILTER (k <= floor(pow(n, 2/9.0))), 0) AS s0, coalesce(sum(k*p/(n/2.0)) FILTER (k <= floor(pow(n, 2/9.0))), 0) AS s1 FROM nn JOIN pr USING (event_type) GROUP BY event_type, n, p0),
+lg AS (SELECT event_type, n, p0, least(CAST(floor(1.1447*pow(s1/s0*s1/s0, 1/3.0)*pow(n, 1/3.0)) AS BIGINT), n - 1) AS lags FROM se),
+vr AS (SELECT event_type, n, lags, p0 + coalesce(sum(2*(1 - k/(lags + 1.0))*p) FILTER (k <= lags), 0) AS var FROM lg JOIN pr USING (event_type) GROUP BY event_type, n, lags, p0),
+cu AS (SELECT event_type, sum(e) OVER (PARTITION BY event_type ORDER BY ord) AS s FROM de),
+kp AS (SELECT event_type, n, lags, sum(s*s)/(n*var) AS statistic FROM cu JOIN vr USING (event_type) GROUP BY event_type, n, lags, var)
+SELECT *, {KP} AS p_value, {KP} > .05 AS is_stationary FROM kp""")
+def d5b(spark, sf):
+    """The number of lags comes from the data."""
+    return P.kpss_test(hours(spark, sf), "n", ["event_type"])
 
 
 FEATS = [*LINE_FEATURES, "target"]

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import f_pvalue, r2_to_f
+from ..session import settle
 from .distributed import Blocks, attach_stats, null_safe, prefix_sums, to_long
-from .gram import Moments, gram, per_group
+from .gram import Gram, Moments, gram, per_group
 from .modelling import _key_fields
 
 
@@ -62,38 +63,64 @@ def trend_test(panel: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
 ADF_CRITICAL = -2.86
 
 
-def adf_test(panel: DataFrame, col: str, keys: Sequence[str] = (), max_lag: int = 4, engine: str = "auto") -> DataFrame:
-    """Augmented Dickey–Fuller with a constant; the lag is picked by AIC.
+def adf_test(panel: DataFrame, col: str, keys: Sequence[str] = (), lags: int | None = None, max_lag: int | None = None, engine: str = "auto") -> DataFrame:
+    """Augmented Dickey–Fuller with a constant: ``(keys…, n, lags, statistic, is_stationary)``.
 
-    Lagged levels and differences are block-wise window columns; one Gram per
-    key holds the regressions of every lag count as sub-matrices.
+    Without ``lags`` the number of lagged differences is picked by AIC, on the rows that all candidates share, up to
+    ``max_lag`` or the bound 12 (n / 100)^(1/4) (a fixed rule) of each key's number of values; the regression is then refitted on all rows that the
+    chosen lag leaves. Lagged levels and differences are block-wise window columns; one Gram per key holds the regressions
+    of every lag count as sub-matrices. A key with too few values has no statistic.
     """
-    b = Blocks(panel, keys, back=max_lag + 1)
+    keys = list(keys)
+    if lags is not None:
+        bound, tops = lags, None
+    else:
+        n = F.col("__n")
+        own = F.greatest(F.lit(0), F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2))
+        own = own if max_lag is None else F.least(own, F.lit(max_lag))
+        tops = settle(panel.groupBy(*keys).agg(F.count(col).alias("__n")).select(*keys, own.cast("int").alias("lags")))
+        bound = tops.agg(F.max("lags")).first()[0] or 0   # one number: the widest regression
+    b = Blocks(panel, keys, back=bound + 1)
     y = F.col(col).cast("double")
     diff = lambda k: b.at(y, -k) - b.at(y, -k - 1)
-    wide = b.select((y - b.at(y, -1)).alias("__d"), b.at(y, -1).alias("__l"), *[diff(k).alias(f"__d{k}") for k in range(1, max_lag + 1)])
-    cols = ["__l", *[f"__d{k}" for k in range(1, max_lag + 1)], "__d"]
-    g = gram(wide, cols, keys, engine)
-    names = g.by
-
-    def fn(key, m: Moments) -> pd.DataFrame:
-        best = None
-        t = len(cols) - 1
-        for k in range(max_lag + 1):
-            idx = list(range(k + 1))
-            a, c = m.cross[np.ix_(idx, idx)], m.cross[idx, t]
-            if m.n <= k + 3 or np.linalg.cond(a) > 1e14:
-                continue
-            beta = np.linalg.solve(a, c)
-            rss = max(m.cross[t, t] - beta @ c, 1e-300)
-            aic = m.n * np.log(rss / m.n) + 2 * (k + 2)
-            se = np.sqrt(rss / (m.n - k - 2) * np.linalg.inv(a)[0, 0])
-            if best is None or aic < best[0]:
-                best = (aic, k, float(beta[0] / se))
-        row = [*(key if names else ()), int(m.n), *((best[1], best[2]) if best else (None, None))]
-        return pd.DataFrame([row], columns=[*names, "n", "lags", "statistic"])
-
-    out = per_group(g, fn, ", ".join([*_key_fields(panel, keys), "n bigint", "lags int", "statistic double"]))
+    wide = settle(b.select((y - b.at(y, -1)).alias("__d"), b.at(y, -1).alias("__l"), *[diff(k).alias(f"__d{k}") for k in range(1, bound + 1)])
+                  .select(*keys, "__d", "__l", *[f"__d{k}" for k in range(1, bound + 1)]))
+    cols = ["__l", *[f"__d{k}" for k in range(1, bound + 1)], "__d"]
+    t = len(cols) - 1
+
+    def solve(m: Moments, k: int) -> tuple[float, float] | None:
+        """(AIC, t statistic) of the regression with k lagged differences."""
+        idx = list(range(k + 1))
+        a, c = m.cross[np.ix_(idx, idx)], m.cross[idx, t]
+        if m.n <= k + 2 or np.linalg.cond(a) > 1e14:
+            return None
+        beta = np.linalg.solve(a, c)
+        rss = max(m.cross[t, t] - beta @ c, 1e-300)
+        se = np.sqrt(rss / (m.n - k - 2) * np.linalg.inv(a)[0, 0])
+        return m.n * np.log(rss / m.n) + 2 * (k + 2), float(beta[0] / se)
+
+    def gram_upto(limits: DataFrame | None) -> Gram:
+        """Regressions with at most each key's ``lags``: differences beyond them do not matter, so rows that lack them take part."""
+        met = wide.withColumn("lags", F.lit(lags)) if limits is None else null_safe(wide, limits, keys) if keys else wide.join(limits)
+        own = met.select(*keys, "lags", "__d", "__l", *[F.when(F.lit(k) <= F.col("lags"), F.col(f"__d{k}")).otherwise(0.0).alias(f"__d{k}") for k in range(1, bound + 1)])
+        return gram(own, cols, [*keys, "lags"], engine)
+
+    fields = _key_fields(panel, keys)
+    best = None
+    if tops is not None:
+        def pick(key, m: Moments) -> pd.DataFrame:
+            found = [(r[0], k) for k in range(int(key[-1]) + 1) if (r := solve(m, k)) is not None]
+            return pd.DataFrame([[*key[:-1], min(found)[1] if found else None]], columns=[*keys, "lags"])
+
+        best = settle(per_group(gram_upto(tops), pick, ", ".join([*fields, "lags int"])).where("lags is not null"))
+    g = gram_upto(best)
+
+    def refit(key, m: Moments) -> pd.DataFrame:
+        k = int(key[-1])
+        found = solve(m, k)
+        return pd.DataFrame([[*key[:-1], int(m.n), k, found[1] if found else None]], columns=[*keys, "n", "lags", "statistic"])
+
+    out = per_group(g, refit, ", ".join([*fields, "n bigint", "lags int", "statistic double"]))
     return out.withColumn("is_stationary", F.col("statistic") < ADF_CRITICAL)
 
 
@@ -101,27 +128,47 @@ def adf_test(panel: DataFrame, col: str, keys: Sequence[str] = (), max_lag: int
 KPSS_TABLE = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 
 
-def kpss_test(panel: DataFrame, col: str, keys: Sequence[str] = (), lags: int = 4, ord_col: str = "ord") -> DataFrame:
-    """Level stationarity: η = Σ S² / (n² σ²), Newey–West variance with Bartlett weights.
+def kpss_test(panel: DataFrame, col: str, keys: Sequence[str] = (), lags: int | None = None, ord_col: str = "ord") -> DataFrame:
+    """Level stationarity: η = Σ S² / (n² σ²), Newey–West variance with Bartlett weights; ``lags`` None: from the data.
 
-    Partial sums run in two levels and lags inside blocks, so a long series is
-    spread over many tasks. p is interpolated in the table, within [.01, .10].
+    The data-driven number of lags is that of Hobijn, Franses and Ooms (2004): autocovariances up to n^(2/9) give the ratio s
+    of their first moment to their sum, and floor(1.1447 (s²)^(1/3) n^(1/3)) lags are used. Partial sums run in two levels
+    and lags inside blocks, so a long series is spread over many tasks. p is interpolated in the table, within [.01, .10].
     """
     keys = list(keys)
     base = panel.where(F.col(col).isNotNull()).select(*keys, ord_col, F.col(col).cast("double").alias("__y"))
-    res = attach_stats(base, {"__m": F.avg("__y")}, keys).withColumn("__e", F.col("__y") - F.col("__m")).drop("__m", "__y")
+    res = settle(attach_stats(base, {"__m": F.avg("__y")}, keys).withColumn("__e", F.col("__y") - F.col("__m")).drop("__m", "__y"))
     cum = prefix_sums(res, {"__s": F.col("__e")}, keys, ord_col)
     top = cum.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__s") * F.col("__s")).alias("__ss"))
-    b = Blocks(res, keys, ord_col, back=max(lags, 1))
-    lagged = b.select(*[(F.col("__e") * b.at("__e", -k)).alias(f"__p{k}") for k in range(1, lags + 1)])
-    var = F.sum(F.col("__e") * F.col("__e"))
-    for k in range(1, lags + 1):
-        var = var + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"__p{k}"), F.lit(0.0))
-    low = lagged.groupBy(*keys).agg(var.alias("__var"))
-    if keys:
-        out = null_safe(top, low, keys)
+
+    def products(upto: int) -> DataFrame:
+        """Sums of e(t) e(t - k) of every key: __p0, __p1, ..."""
+        b = Blocks(res, keys, ord_col, back=max(upto, 1))
+        lagged = b.select(*[(F.col("__e") * b.at("__e", -k)).alias(f"__p{k}") for k in range(1, upto + 1)])
+        return lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("__e") * F.col("__e")).alias("__p0"),
+                                         *[F.coalesce(F.sum(f"__p{k}"), F.lit(0.0)).alias(f"__p{k}") for k in range(1, upto + 1)])
+
+    if lags is None:
+        longest = res.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+        few = int(longest ** (2 / 9))
+        n = F.col("__n")
+        own = F.floor(F.pow(n, F.lit(2 / 9)))
+        terms = [F.when(F.lit(k) <= own, F.col(f"__p{k}") / (n / 2)).otherwise(0.0) for k in range(1, few + 1)]
+        s0, s1 = F.col("__p0") / n, F.lit(0.0)
+        for k, term in enumerate(terms, 1):
+            s0, s1 = s0 + term, s1 + k * term
+        s = F.try_divide(s1, s0)
+        auto = F.least(F.floor(1.1447 * F.pow(s * s, F.lit(1 / 3)) * F.pow(n, F.lit(1 / 3))), n - 1)
+        chosen = settle(products(few).select(*keys, F.coalesce(auto, F.lit(0)).cast("int").alias("lags")))
+        upto = chosen.agg(F.max("lags")).first()[0] or 0
+        sums = null_safe(products(upto), chosen, keys) if keys else products(upto).join(chosen)
     else:
-        out = top.withColumn("__var", low.scalar())
+        upto, sums = lags, products(lags).withColumn("lags", F.lit(lags))
+    var = F.col("__p0")
+    for k in range(1, upto + 1):
+        var = var + F.when(F.lit(k) <= F.col("lags"), 2 * (1 - k / (F.col("lags") + 1)) * F.col(f"__p{k}")).otherwise(0.0)
+    low = sums.select(*keys, "lags", var.alias("__var"))
+    out = null_safe(top, low, keys) if keys else top.join(low)
     eta = F.try_divide(F.col("__ss"), F.col("n") * F.col("__var"))
     out = out.withColumn("statistic", eta)
     s = F.col("statistic")
