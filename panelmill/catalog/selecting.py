@@ -194,6 +194,26 @@ def r2(spark, sf):
     return R.rfe_forest(line_rows(spark, sf), LINE_FEATURES, "target", 6)
 
 
+ONE_BY_ONE = f"""{LINE_ROWS}, ax AS (SELECT ord, ntile(5) OVER (ORDER BY ord) - 1 AS b FROM (SELECT DISTINCT ord FROM lr)),
+x AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, target AS t, b FROM lr JOIN ax USING (ord)" for c in LINE_FEATURES)}),
+g AS (SELECT feature, k.b AS fold, avg(x) AS mx, avg(t) AS mt, covar_pop(x, t)*count(*) AS sxy, var_pop(x)*count(*) AS sxx FROM x JOIN (SELECT DISTINCT b FROM ax) k ON x.b <> k.b GROUP BY 1, 2),
+m AS (SELECT x.feature, x.b, avg(abs(t - (mt + sxy/(sxx + 1)*(x - mx)))) AS mae FROM x JOIN g ON x.feature = g.feature AND x.b = g.fold GROUP BY 1, 2),
+sc AS (SELECT feature, avg(mae) AS mean_mae, stddev_pop(mae) AS std_mae FROM m GROUP BY 1)"""
+
+
+@query("r3_forward_select_one", "feature:s selected:b step:i mae:6", f"""
+WITH {ONE_BY_ONE}, r AS (SELECT *, row_number() OVER (ORDER BY mean_mae) = 1 AS best FROM sc) SELECT feature, best AS selected, CASE WHEN best THEN 1 ELSE 0 END AS step, CASE WHEN best THEN mean_mae END AS mae FROM r""")
+def r3b(spark, sf):
+    return R.sequential_select(line_rows(spark, sf), LINE_FEATURES, "target", 1)
+
+
+@query("r5_exhaustive_one", "features:s n_features:i mean_score:6 std_score:6 selected:b", f"""
+WITH {ONE_BY_ONE} SELECT feature AS features, 1 AS n_features, -mean_mae AS mean_score, std_mae AS std_score, row_number() OVER (ORDER BY mean_mae) = 1 AS selected FROM sc""")
+def r5b(spark, sf):
+    out = R.exhaustive_select(line_rows(spark, sf), LINE_FEATURES, "target", 1, 1)
+    return out.withColumn("features", F.concat_ws(",", "features"))
+
+
 @query("r3_forward_select", "feature:s selected:b step:i mae:6")
 def r3(spark, sf):
     return R.sequential_select(line_rows(spark, sf), LINE_FEATURES, "target", 4)

@@ -7,14 +7,14 @@ driver); each search step scores all its candidates in one pass over the rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import reuse
+from ..session import reuse, settle
 from .folds import contiguous_kfold, period_axis
 from .gram import Moments, complete, gram, moments_local, per_group
 from .modelling import fit_tree, ridge_solve
@@ -157,18 +157,83 @@ def sequential_select(df: DataFrame, features: Sequence[str], target: str, keep:
     return df.sparkSession.createDataFrame(rows, "method string, feature string, selected boolean, step int, mae double")
 
 
+SUBSETS, BUFFER = 2_000, 200_000   # subsets that a task solves, and rows that it holds, at a time
+
+
+def subset_at(rank: int, p: int, low: int, high: int) -> tuple[int, ...]:
+    """The subset of 0..p-1 at place ``rank`` among those of low..high members: by size, then in lexicographic order."""
+    for size in range(low, high + 1):
+        n = comb(p, size)
+        if rank < n:
+            break
+        rank -= n
+    out, at = [], 0
+    for left in range(size, 0, -1):
+        while rank >= comb(p - at - 1, left - 1):
+            rank -= comb(p - at - 1, left - 1)
+            at += 1
+        out.append(at)
+        at += 1
+    return tuple(out)
+
+
 def exhaustive_select(df: DataFrame, features: Sequence[str], target: str, low: int = 1, high: int = 5, cv: int = 5, alpha: float = 1.0,
                       standardize: bool = False, engine: str = "auto") -> DataFrame:
-    """All subsets of size low..high of all features, scored in one pass."""
+    """All subsets of size low..high of all features with the mean and std of their cross-validated error: one row each.
+
+    No list of subsets exists anywhere: every task unranks a range after the other, solves its subsets from the folds' Gram
+    matrices (features² numbers each) and adds up their errors on its own rows; the sums of a subset meet in a shuffle. The
+    best is that of the least error, then fewest features, then lowest rank.
+    """
     model = RidgeCV(df, features, target, cv, alpha, standardize, engine)
-    p = len(model.features)
-    subsets = [c for size in range(low, min(high, p) + 1) for c in combinations(range(p), size)]
-    s = model.scores(subsets)
+    feats, p = model.features, len(model.features)
+    high = min(high, p)
+    total = sum(comb(p, size) for size in range(low, high + 1))
+    spans, train, y = model.spans, model.train, "__t"
+    slim = model.rows.select(*[F.col(f).cast("double").alias(f) for f in feats], F.col(target).cast("double").alias(y), F.col("ord").alias("__ord"))
+
+    def sums(part: pd.DataFrame):
+        o, x, t = part["__ord"].to_numpy(), part[feats].to_numpy(dtype=float), part[y].to_numpy()
+        folds = [(b, np.flatnonzero((o >= lo) & (o <= hi))) for lo, hi, b in spans]
+        for start in range(0, total, SUBSETS):
+            chosen = [subset_at(r, p, low, high) for r in range(start, min(total, start + SUBSETS))]
+            for b, at in folds:
+                if not len(at):
+                    continue
+                beta, b0 = np.zeros((p, len(chosen))), np.zeros(len(chosen))
+                for c, idx in enumerate(chosen):
+                    b0[c], coef, _ = ridge_solve(train[b], idx, p, alpha, standardize)
+                    beta[list(idx), c] = coef
+                step = max(1, CELLS // len(chosen))
+                found = np.zeros(len(chosen))
+                for s in range(0, len(at), step):
+                    some = at[s:s + step]
+                    found += np.abs(t[some, None] - (x[some] @ beta + b0)).sum(axis=0)
+                yield pd.DataFrame({"rank": np.arange(start, start + len(chosen)), "fold": np.int64(b), "abs_sum": found, "n": np.int64(len(at))})
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= BUFFER:
+                yield from sums(pd.concat(held))
+                held, rows = [], 0
+        if rows:
+            yield from sums(pd.concat(held))
+
+    parts = slim.mapInPandas(run, "rank bigint, fold bigint, abs_sum double, n bigint")
+    per = parts.groupBy("rank", "fold").agg((F.sum("abs_sum") / F.sum("n")).alias("mae")).groupBy("rank").agg(F.avg("mae").alias("mean_mae"), F.stddev_pop("mae").alias("std_score"))
+
+    def name(batches):
+        for batch in batches:
+            idx = [subset_at(int(r), p, low, high) for r in batch["rank"]]
+            yield pd.DataFrame({"rank": batch["rank"], "features": [[feats[i] for i in c] for c in idx], "n_features": [len(c) for c in idx], "mean_score": -batch["mean_mae"], "std_score": batch["std_score"]})
+
+    named = settle(per.mapInPandas(name, "rank bigint, features array<string>, n_features int, mean_score double, std_score double"))
     model.close()
-    rows = [([model.features[i] for i in c], len(c), -float(s["mean_mae"][k]), float(s["std_mae"][k])) for k, c in enumerate(subsets)]
-    best = max(range(len(rows)), key=lambda k: (rows[k][2], -rows[k][1]))
-    return df.sparkSession.createDataFrame([(*r, k == best) for k, r in enumerate(rows)],
-                                           "features array<string>, n_features int, mean_score double, std_score double, selected boolean")
+    best = named.agg(F.min(F.struct(-F.col("mean_score"), "n_features", "rank"))["rank"].alias("rank"))
+    return named.withColumn("selected", F.col("rank") == best.scalar()).drop("rank")
 
 
 def run_wrappers(df: DataFrame, features: Sequence[str], target: str, keep: int = 10, cv: int = 5, seed: int = 42, engine: str = "auto", **tree) -> DataFrame:

@@ -88,6 +88,23 @@ def test_wrappers_agree_with_exhaustive(data):
     assert best[(first,)] == max(v for k, v in best.items() if len(k) == 1)
 
 
+def test_subsets_are_unranked_in_order():
+    from itertools import combinations
+
+    for p, low, high in ((5, 1, 5), (6, 2, 4), (1, 1, 1), (9, 3, 3)):
+        want = [c for size in range(low, high + 1) for c in combinations(range(p), size)]
+        assert [R.subset_at(r, p, low, high) for r in range(len(want))] == want
+
+
+def test_exhaustive_does_not_depend_on_ranges(data, monkeypatch):
+    _, df = data
+    key = lambda rows: sorted((tuple(r.features), round(r.mean_score, 9), round(r.std_score, 9), r.selected) for r in rows)
+    want = key(R.exhaustive_select(df, FEATS, "y", 1, 3).collect())
+    monkeypatch.setattr(R, "SUBSETS", 3)
+    monkeypatch.setattr(R, "BUFFER", 50)
+    assert key(R.exhaustive_select(df.repartition(5), FEATS, "y", 1, 3).collect()) == want and sum(r[3] for r in want) == 1
+
+
 def test_exhaustive_scores_equal_numpy(data):
     d, df = data
     got = {tuple(r.features): r.mean_score for r in R.exhaustive_select(df, FEATS, "y", 1, 1, standardize=True).collect()}
