@@ -26,32 +26,103 @@ def normalised_weights(criteria: Mapping[str, str], weights: Mapping[str, float]
     return {c: v / total for c, v in w.items()}
 
 
-def _skyline(points: np.ndarray) -> np.ndarray:
+def _beaten(mine: np.ndarray, rivals: np.ndarray) -> np.ndarray:
+    """Which rows of ``mine`` some row of ``rivals`` dominates (larger is better)."""
+    out = np.zeros(len(mine), dtype=bool)
+    step = max(1, 1_000_000 // max(1, rivals.size))
+    for at in range(0, len(mine) if len(rivals) else 0, step):
+        m = mine[at:at + step, None, :]
+        out[at:at + step] = np.any(np.all(rivals[None] >= m, axis=2) & np.any(rivals[None] > m, axis=2), axis=1)
+    return out
+
+
+def _skyline(points: np.ndarray, block: int = 64) -> np.ndarray:
     """Mask of rows no other row dominates (larger is better, no duplicates).
 
-    Rows are visited by falling sum: only an earlier row can dominate.
+    Rows are taken by falling sum, block by block: only an earlier row can dominate.
     """
     keep = np.zeros(len(points), dtype=bool)
     order = np.argsort(-points.sum(axis=1), kind="stable")
-    front = np.empty_like(points)
-    size = 0
-    for i in order:
-        p = points[i]
-        f = front[:size]
-        if size and bool(np.any(np.all(f >= p, axis=1) & np.any(f > p, axis=1))):
-            continue
-        front[size] = p
-        size += 1
-        keep[i] = True
+    front = points[:0]
+    for at in range(0, len(order), block):
+        some = order[at:at + block]
+        some = some[~_beaten(points[some], front)]
+        some = some[~_beaten(points[some], points[some])]
+        keep[some] = True
+        front = np.concatenate([front, points[some]])
     return keep
 
 
+GRID = 65_536       # cells of the grid over the criteria, at most
+FRONT = 100_000     # rows of the fronts that a task carries before it hands them on
+
+
+def _empty_corners(points: DataFrame, by: list[str], gains: list[str]) -> DataFrame:
+    """``points`` without the rows of grid cells that a non-empty cell beats in every criterion.
+
+    Sketched quantiles cut each criterion; which cells hold rows is a small table, and so is what is left of it, so rows meet
+    it where they lie. All rows of a beaten cell are worse in all criteria than every row of the other.
+    """
+    cells = max(2, int(GRID ** (1 / len(gains))))
+    cells = min(cells, 64)
+    one = points.agg(*[F.percentile_approx(g, [i / cells for i in range(1, cells)], 1000).alias(f"q{i}") for i, g in enumerate(gains)]).first()
+    if one["q0"] is None:
+        return points
+    place = []
+    for i, g in enumerate(gains):
+        c = F.lit(0)
+        for edge in sorted(set(one[f"q{i}"])):
+            c = c + (F.col(g) > F.lit(float(edge))).cast("int")
+        place.append(c)
+    names = [f"__c{i}" for i in range(len(gains))]
+    placed = points.select("*", *[c.alias(n) for c, n in zip(place, names)])
+    used = placed.select(*by, *names).distinct()
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf[names].to_numpy()
+        beaten, step = np.zeros(len(v), dtype=bool), max(1, 1_000_000 // v.size)
+        for at in range(0, len(v), step):
+            beaten[at:at + step] = np.any(np.all(v[None] > v[at:at + step, None], axis=2), axis=1)
+        return pdf[~beaten]
+
+    keyed = used if by else used.withColumn("__all", F.lit(0))
+    left = settle(keyed.groupBy(*(by or ["__all"])).applyInPandas(best, keyed.schema).select(*by, *names))
+    return null_safe(placed, left, [*by, *names], "left_semi").select(*points.columns)
+
+
+def _fronts(points: DataFrame, by: list[str], gains: list[str]) -> DataFrame:
+    """What no row of the same task dominates: every group's front runs along from batch to batch."""
+    schema = points.schema
+
+    def run(batches):
+        held: dict = {}
+        size = 0
+        for batch in batches:
+            for key, g in batch.drop_duplicates().groupby(by, dropna=False, sort=False) if by else [((), batch.drop_duplicates())]:
+                key = tuple(None if pd.isna(k) else k for k in key) if by else ()
+                g = g[_skyline(g[gains].to_numpy(dtype=float))]
+                if key in held:
+                    old = held[key]
+                    size -= len(old)
+                    a, b = old[gains].to_numpy(dtype=float), g[gains].to_numpy(dtype=float)
+                    g = pd.concat([old[~_beaten(a, b)], g[~_beaten(b, a)]]).drop_duplicates()
+                held[key] = g
+                size += len(g)
+            if size > FRONT:
+                yield pd.concat(held.values())
+                held, size = {}, 0
+        if size:
+            yield pd.concat(held.values())
+
+    return points.mapInPandas(run, schema)
+
+
 def pareto_filter(df: DataFrame, criteria: Mapping[str, str], by: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
     """Alternatives no other one dominates; equal alternatives are all kept.
 
-    Exact at any size without comparing all pairs of rows: (1) each input
-    partition drops what its own rows dominate, before any shuffle, (2) equal
-    vectors are merged, (3) the survivors of a group are cut into chunks and every chunk is checked against
+    Exact at any size without comparing all pairs of rows: (1) a grid of cells drops what whole cells dominate, (2) each
+    task drops what its own rows dominate, before any shuffle, and once more after its front met others', (3) equal
+    vectors are merged, (4) the survivors of a group are cut into chunks and every chunk is checked against
     each chunk in groups of at most two chunks. Few survivors means one chunk.
     """
     crit, by = list(criteria), list(by)
@@ -60,17 +131,9 @@ def pareto_filter(df: DataFrame, criteria: Mapping[str, str], by: Sequence[str]
     full = df.select("*", *[(F.col(c).cast("double") * sign[c]).alias(g) for c, g in zip(crit, gains)])
     points = full.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in gains])).select(*by, *gains)
     schema = points.schema
-
-    def local(batches):
-        for batch in batches:
-            batch = batch.drop_duplicates()
-            groups = batch.groupby(by, dropna=False, sort=False) if by else [((), batch)]
-            for _, g in groups:
-                for at in range(0, len(g), chunk):
-                    part = g.iloc[at:at + chunk]
-                    yield part[_skyline(part[gains].to_numpy(dtype=float))]
-
-    survivors = settle(points.mapInPandas(local, schema).distinct())
+    first = settle(_fronts(_empty_corners(points, by, gains), by, gains))
+    tasks = max(1, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    survivors = settle(_fronts(first.repartition(tasks, F.xxhash64(*gains)), by, gains).distinct())
     parts = F.greatest(F.lit(1), F.ceil(F.col("__m") / chunk)).cast("int")
     sized = attach_stats(survivors, {"__m": F.count(F.lit(1))}, by)
     sized = sized.withColumn("__k", parts).withColumn("__home", F.pmod(F.xxhash64(*gains), F.col("__k")).cast("int"))
@@ -84,11 +147,7 @@ def pareto_filter(df: DataFrame, criteria: Mapping[str, str], by: Sequence[str]
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["__side"].to_numpy()
         t, r = pdf[side == 0], pdf[side == 1][gains].to_numpy(dtype=float)
-        mine = t[gains].to_numpy(dtype=float)
-        beaten = np.zeros(len(mine), dtype=bool)
-        for at in range(0, len(mine), 256):
-            m = mine[at:at + 256, None, :]
-            beaten[at:at + 256] = np.any(np.all(r[None] >= m, axis=2) & np.any(r[None] > m, axis=2), axis=1)
+        beaten = _beaten(t[gains].to_numpy(dtype=float), r)
         return t.loc[beaten, [*by, *gains]]
 
     dominated = pairs.groupBy(*by, "__home", "__vs").applyInPandas(check, schema)
