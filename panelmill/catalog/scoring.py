@@ -23,11 +23,11 @@ def v1(spark, sf):
     return V.forecast_metrics(naive_predictions(spark, sf), ["model", "n_name"])
 
 
-@query("v1_forecast_metrics_rows", "l_shipmode:s mae:6 rmse:6 mse:2 mape:6 r2:6 bias:6 n:i", """
-WITH p AS (SELECT l_returnflag AS l_shipmode, l_extendedprice AS actual, 1000*l_quantity AS predicted FROM lineitem) SELECT l_shipmode, """ + M + " FROM p GROUP BY 1")
+@query("v1_forecast_metrics_rows", "l_returnflag:s mae:6 rmse:6 mse:2 mape:6 r2:6 bias:6 n:i", """
+WITH p AS (SELECT l_returnflag, l_extendedprice AS actual, 1000*l_quantity AS predicted FROM lineitem) SELECT l_returnflag, """ + M + " FROM p GROUP BY 1")
 def v1b(spark, sf):
-    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("l_shipmode"), F.col("l_extendedprice").alias("actual"), (1000 * F.col("l_quantity")).alias("predicted"))
-    return V.forecast_metrics(rows, ["l_shipmode"])
+    rows = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("actual"), (1000 * F.col("l_quantity")).alias("predicted"))
+    return V.forecast_metrics(rows, ["l_returnflag"])
 
 
 @query("v2_metrics_by_horizon", "model:s horizon:i " + MS, f"""

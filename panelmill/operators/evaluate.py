@@ -38,7 +38,8 @@ def metrics_by_horizon(preds: DataFrame, horizons: Sequence[int] = HORIZONS, by:
     groups = preds.select(*by).distinct() if by else preds.sparkSession.range(1).select()
     grid = groups.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     out = null_safe(grid, found.withColumn("horizon", F.col("horizon").cast("int")), [*by, "horizon"], "left")
-    return out.na.fill(0.0).na.fill(0, ["n"])
+    measured = [c for c in out.columns if c not in (*by, "horizon")]   # keys are left as they are, null ones too
+    return out.na.fill(0, measured)
 
 
 def stability(preds: DataFrame, by: Sequence[str] = (), fold: str = "fold_id") -> DataFrame:
