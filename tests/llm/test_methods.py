@@ -297,6 +297,8 @@ def test_pack_repeated_rows(spark):
 def test_top_k_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "CANDIDATES", block)
     monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "RUN_C", 5)
+    monkeypatch.setattr(topk, "RUN_Q", 2)
     rng = np.random.default_rng(4)
     v = rng.integers(-3, 4, (60, 5))
     docs = spark.createDataFrame([(i, [float(x) / 64 for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
@@ -306,3 +308,21 @@ def test_top_k_by_brute_force(spark, monkeypatch, block):
         best = sorted((-int(v[q] @ v[c]), c) for c in range(60) if c != q)[:6]
         want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     assert got == want
+
+
+def test_cutoffs_leave_most_totals_unformed():
+    """Clusters: after the first lists few entries can reach the cutoff, and far runs are left out as a whole."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 32)) * 60
+    v = np.floor(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 6).astype("<i2")
+    ids, q = np.arange(4000), v[::100]
+    score = q.astype(int) @ v.astype(int).T
+    score[np.arange(40), np.arange(0, 4000, 100)] = -10**9
+    cut = -np.sort(-score, axis=1)[:, 4].astype(float)
+    topk.COUNTS.update(totals=0, pairs=0)
+    row, col, found = topk.above(ids[::100], q, cut, ids, v, 5, 4)
+    assert topk.COUNTS["totals"] < topk.COUNTS["pairs"] / 10
+    want = {(100 * i, c) for i in range(40) for c in np.lexsort((ids, -score[i]))[:5]}
+    assert set(zip(row.tolist(), col.tolist())) == want and all(score[r // 100, c] == s for r, c, s in zip(row, col, found))
+    topk.COUNTS.update(totals=0)
+    assert not len(topk.above(ids[:3], q[:3], np.full(3, 1e9), ids, v // 50, 5, 4)[0]) and topk.COUNTS["totals"] == 0
