@@ -92,7 +92,7 @@ def above(qi: np.ndarray, q: np.ndarray, cut: np.ndarray, vi: np.ndarray, v: np.
     """
     left_q, left_v = _norms(q, lists), _norms(v, lists)
     COUNTS["pairs"] += len(qi) * len(vi)
-    slack = 1 + 1e-6
+    slack = 1 + 1e-5
     some = np.flatnonzero(left_q[0] * left_v[0].max(initial=0) * slack + 1 >= cut)
     if not len(some) or not len(vi):
         return qi[:0], vi[:0], np.zeros(0, dtype=np.int64)
@@ -101,24 +101,31 @@ def above(qi: np.ndarray, q: np.ndarray, cut: np.ndarray, vi: np.ndarray, v: np.
     parts = np.array_split(np.arange(q.shape[1]), lists)
     kind = _exact(q, v)
     q, v = q.astype(kind), v.astype(kind)
-    dense = q[:, parts[0]] @ v[:, parts[0]].T
     mine, at = _own(qi, vi)
-    alive = dense + np.outer(left_q[1], left_v[1]) * slack + 1 >= cut[:, None]
-    alive[mine, at] = False
-    row, col = np.nonzero(alive)
-    total = dense[row, col].astype(np.float64)
-    seen = total >= share[row]
-    for n, part in enumerate(parts[1:], 1):
-        if len(row) * 8 > dense.size:   # most are left: one product is cheaper than reading them one by one
-            s = (q[:, part] @ v[:, part].T)[row, col].astype(np.float64)
-        else:
-            a, b = np.ascontiguousarray(q[:, part]), np.ascontiguousarray(v[:, part])
-            s = np.concatenate([np.einsum("ij,ij->i", a[row[i:i + 100_000]], b[col[i:i + 100_000]]) for i in range(0, len(row), 100_000)] or [np.zeros(0)]).astype(np.float64)
+    dense = np.zeros((len(qi), len(vi)), dtype=kind)
+    reach = np.zeros(dense.shape, dtype=bool)
+    sparse = None
+    for n, part in enumerate(parts):
+        if sparse is None:   # many are left: one product of the list is cheaper than reading entries one by one
+            s = q[:, part] @ v[:, part].T
+            reach |= s >= share[:, None]
+            dense += s
+            rest = (left_q[n + 1] * slack).astype(np.float32)[:, None] * left_v[n + 1].astype(np.float32)[None] if n + 1 < lists else 0.0
+            alive = dense + rest >= cut[:, None] - (n + 1 < lists)
+            alive[mine, at] = False
+            if n + 1 < lists and np.count_nonzero(alive) * 64 > dense.size:
+                continue
+            COUNTS["totals"] += dense.size if n + 1 == lists else 0
+            row, col = sparse = np.nonzero(alive)
+            total, seen = dense[row, col].astype(np.float64), reach[row, col]
+            continue
+        a, b = np.ascontiguousarray(q[:, part]), np.ascontiguousarray(v[:, part])
+        s = np.concatenate([np.einsum("ij,ij->i", a[row[i:i + 100_000]], b[col[i:i + 100_000]]) for i in range(0, len(row), 100_000)] or [np.zeros(0)]).astype(np.float64)
         total += s
         seen |= s >= share[row]
         keep = total + left_q[n + 1][row] * left_v[n + 1][col] * slack + (n + 1 < lists) >= cut[row]
         row, col, total, seen = row[keep], col[keep], total[keep], seen[keep]
-    COUNTS["totals"] += len(row)
+        COUNTS["totals"] += len(row) if n + 1 == lists else 0
     hit = seen & (total >= cut[row])
     row, col, score = row[hit], col[hit], total[hit].astype(np.int64)
     order = np.lexsort((vi[col], -score, row))
