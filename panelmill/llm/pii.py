@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import doc_key, nest, slices, unnest, with_text
+from .common import doc_key, maybe_in, nest, slices, unnest, with_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -90,12 +90,18 @@ def _signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def entity_of(text: str, span: Span) -> int:
+    """Digest of the person or thing that a base span names: kind and value, without case or separators."""
+    a, b, k = span
+    value = text[a:b].lower() if k < 2 else "".join(c for c in text[a:b] if c.isdigit())
+    return _signed(xxhash.xxh64_intdigest(f"{KINDS[k]}:{value}"))
+
+
 def neighbours(text: str, spans: list[Span]) -> list[dict]:
     """Terms near each base span: entity and context digests, the term, its slot, start and end."""
     out = {}
     for a, b, k in spans:
-        value = text[a:b].lower() if k < 2 else "".join(c for c in text[a:b] if c.isdigit())
-        entity = _signed(xxhash.xxh64_intdigest(f"{KINDS[k]}:{value}"))
+        entity = entity_of(text, (a, b, k))
         low, high = max(0, a - REACH), min(len(text), b + REACH)
         words = []
         for m in _WORD.finditer(text, low, high):
@@ -110,7 +116,7 @@ def neighbours(text: str, spans: list[Span]) -> list[dict]:
 
 
 def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, n_email, n_ip, n_card, n_phone, base_sha256, base, near) of every row; ``key`` is a digest of the text."""
+    """(doc_id, key, n_email, n_ip, n_card, n_phone, base_sha256, base, entities, near) of every row; ``key`` is a digest of the text."""
     near = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("slot", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
     base = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())]))
 
@@ -123,12 +129,13 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), *counts, pa.array([sha256(spans_text(s).encode()).hexdigest() for s in found], pa.string()),
                     pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found], base),
+                    pa.array([sorted({entity_of(t, x) for x in s}) for t, s in zip(texts, found)], pa.list_(pa.int64())),
                     pa.array([neighbours(t, s) if s else [] for t, s in zip(texts, found)], near)],
-                    names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+                    names=["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "near"])
 
     frame = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_key(F.col(text))).alias("key"), F.col(text).cast("string").alias("text"))
     return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-                            "base array<struct<start: bigint, end: bigint, kind: int>>, near array<struct<entity: bigint, context: bigint, term: string, slot: int, start: bigint, end: bigint>>")
+                            "base array<struct<start: bigint, end: bigint, kind: int>>, entities array<bigint>, near array<struct<entity: bigint, context: bigint, term: string, slot: int, start: bigint, end: bigint>>")
 
 
 def document_frequency(docs: DataFrame, text: str, slots: np.ndarray) -> DataFrame:
@@ -173,23 +180,45 @@ def disclosing(docs: DataFrame, found: DataFrame, text: str, threshold: float, s
     return (pairs.join(df, "term").join(own, "entity").select("entity", "term", score.alias("disclosure")).where(F.col("disclosure") >= threshold))
 
 
-def term_spans(docs: DataFrame, found: DataFrame, text: str, threshold: float, support: int) -> DataFrame:
-    """(__id, __key, __terms): the disclosing terms of each document that has any, as (start, rank, end)."""
+def term_spans(docs: DataFrame, found: DataFrame, doc_id: str, text: str, threshold: float, support: int) -> DataFrame:
+    """(__id, __key, __terms): every occurrence of a disclosing term in the documents that name its entity, as (start, rank, end).
+
+    Only those documents are read again, found by a bit table of fixed size; the others stay where they are.
+    """
     flagged = settle(disclosing(docs, found, text, threshold, support).select("entity", "term"))
-    rows = found.where(F.size("near") > 0).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.inline("near"))
-    return (rows.join(flagged, ["entity", "term"]).groupBy("__id", "__key")
-            .agg(F.collect_set(F.struct("start", F.lit(4).alias("rank"), "end")).alias("__terms")))
+    named = found.where(F.size("entities") > 0).select(F.col("doc_id").alias("id"), "key", F.explode("entities").alias("entity"))
+    wanted = settle(named.join(flagged, "entity").groupBy("id", "key").agg(F.collect_set("term").alias("terms")))
+    keyed = docs.select(F.col(doc_id).alias("__id"), F.xxhash64(doc_key(F.col(text))).alias("__key"), F.col(text).cast("string").alias("__text"))
+    some = maybe_in(keyed.withColumn("__mark", F.xxhash64("__id", "__key")), "__mark", wanted.select(F.xxhash64("id", "key").alias("__mark"))).where("maybe")
+    met = some.join(wanted, some["__id"].eqNullSafe(wanted["id"]) & (some["__key"] == wanted["key"])).select("__id", "__key", "__text", "terms")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2, 4 << 20):
+                marks = [occurrences(t or "", set(terms)) for t, terms in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, kind)], names=["__id", "__key", "__terms"])
+
+    fields = f"__id {keyed.schema['__id'].dataType.simpleString()}, __key long, __terms array<struct<start: bigint, rank: int, end: bigint>>"
+    return met.mapInArrow(run, fields).dropDuplicates(["__id", "__key"])   # rows of equal id and text have equal spans
+
+
+def occurrences(text: str, terms: set[str]) -> list[dict]:
+    """Spans of the words of ``text`` that are ``terms`` in any case, outside base matches."""
+    base = base_spans(text)
+    return [{"start": m.start(), "rank": 4, "end": m.end()} for m in _WORD.finditer(text)
+            if m[0].lower() in terms and not any(m.start() < y and x < m.end() for x, y, _ in base)]
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, support: int = 3) -> DataFrame:
     """(doc_id, key, n_email, n_ip, n_card, n_phone, base_sha256, all_spans) of every row of ``docs``.
 
     ``all_spans`` holds (start, rank, end) by start, then kind (the place in KINDS): base matches, and the disclosing
-    terms within WINDOW words of the entity that they disclose. Terms stand outside base matches, which all stay. Null
+    terms wherever they stand in a document that names the entity they disclose (WINDOW words around it are the evidence). Terms stand outside base matches, which all stay. Null
     text counts as empty; rows of equal id and text get equal results; an empty table gives an empty one.
     """
     found = settle(scan(docs, doc_id, text))
-    terms = term_spans(docs, found, text, threshold, support)
+    terms = term_spans(docs, found, doc_id, text, threshold, support)
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("rank"), s["end"].alias("end")))
     both = found.join(terms, found["doc_id"].eqNullSafe(terms["__id"]) & (found["key"] == terms["__key"]), "left")
     every = F.array_sort(F.concat(base, F.coalesce("__terms", F.expr("array()").cast("array<struct<start: bigint, rank: int, end: bigint>>"))))
@@ -212,7 +241,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     Other columns are handed back as they were; null text stays null, an empty table empty. Base matches are found again where the row lies; only spans of disclosing terms are joined, from a written table whose
     size Spark checks before it decides whether whole texts must be shuffled.
     """
-    terms = settle(term_spans(docs, settle(scan(docs, doc_id, text)), text, threshold, support))
+    terms = settle(term_spans(docs, settle(scan(docs, doc_id, text)), doc_id, text, threshold, support))
     keyed = nest(docs, own=F.xxhash64(doc_key(F.col(text))))
     met = keyed.join(terms, keyed["row"][doc_id].eqNullSafe(terms["__id"]) & (F.col("own") == F.col("__key")), "left").select("row", "__terms")
     at = docs.columns.index(text)

@@ -153,7 +153,8 @@ def test_special_tokens_in_either_case():
 
 def test_disclosing_terms_are_found(spark):
     """A nickname that stands only beside one address discloses it; a common word does not; a single context is no evidence."""
-    rows = [(i, f"Filler{i} thing with zorbulax wrote from zor@mail.example.com about matter{'abcdefgh'[i]} again") for i in range(8)]
+    rows = [(i, f"Filler{i} thing with zorbulax wrote from zor@mail.example.com about matter{'abcdefgh'[i]} again") for i in range(7)]
+    rows += [(7, "A last thing with zorbulax wrote from zor@mail.example.com about matterh. " + "Other words follow here in between. " * 9 + "So said ZORBULAX once more, not zorbulaxes")]
     rows += [(100 + i, "people wrote about the weather again and again with many words") for i in range(60)]
     rows += [(300 + i, "copied quuxword once@mail.example.com here") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("term", F.lit("clash"))
@@ -166,6 +167,7 @@ def test_disclosing_terms_are_found(spark):
     assert not any(s["rank"] == 4 for i in range(5) for s in found[300 + i]["all_spans"])
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "zorbulax" not in clean[0] and "[EMAIL]" in clean[0] and "[TERM]" in clean[0] and clean[100] == rows[8][1]
+    assert "A last thing with [TERM]" in clean[7] and clean[7].endswith("So said [TERM] once more, not zorbulaxes")   # wherever it stands
 
 
 def test_wrapper_learns_a_menu_from_other_pages(spark):
