@@ -211,6 +211,23 @@ FOREST_SPACE = {"trees": {"type": "int", "low": 5, "high": 30}, "depth": {"type"
                 "min_split": {"type": "int", "low": 2, "high": 10}, "min_leaf": {"type": "int", "low": 1, "high": 5}}
 
 
+POINT = {name: f"({shift!r} + (i + 1)*{step!r} - floor({shift!r} + (i + 1)*{step!r}))" for name, (step, shift) in zip(SPACE, H.spread(len(SPACE)))}
+
+
+@query("h1_param_candidates_one", "alpha:6 depth:i rate:6 split:s fitness:6", f"""
+WITH pt AS (SELECT i, exp(ln(0.01) + {POINT['alpha']}*(ln(1000.0) - ln(0.01))) AS alpha, CAST(floor(2 + {POINT['depth']}*7) AS INTEGER) AS depth, 0.01 + {POINT['rate']}*(0.3 - 0.01) AS rate,
+ list_extract(['all', 'sqrt', 'log2'], CAST(floor({POINT['split']}*3) AS INTEGER) + 1) AS split FROM range(12) AS r(i)),
+{SWEEP1.replace("al AS (SELECT unnest([1.0, 1000.0, 100000.0])::DOUBLE AS alpha)", "al AS (SELECT alpha FROM pt)")}
+SELECT pt.alpha, depth, rate, split, weighted_mae + .1*horizon_spread_penalty AS fitness FROM pt JOIN sw USING (alpha)""")
+def h1b(spark, sf):
+    """The points' penalties are scored on one feature."""
+    rows = line_rows(spark, sf)
+    points = H.param_candidates(spark, SPACE, 12)
+    alphas = [r["alpha"] for r in points.select("alpha").orderBy("candidate").collect()]
+    scored = H.sweep_ridge(rows, "target", ["l_quantity"], line_plan(rows), alphas)
+    return points.join(scored.select(F.col("cand").alias("candidate"), "fitness"), "candidate")
+
+
 @query("h2_sweep_tree_stumps", "params:s weighted_mae:8 horizon_spread_penalty:8 fitness:8", f"""
 WITH {STUMP}, ra AS (SELECT unnest([0.1, 0.5, 1.0])::DOUBLE AS rate),
 fm AS (SELECT rate, fold_id, horizon, avg(abs(target - (s/n + rate*(CASE WHEN l_quantity <= cut THEN sl/nl ELSE (s-sl)/(n-nl) END - s/n)))) AS mae FROM lr JOIN pl ON ord BETWEEN test_start_ord AND test_end_ord JOIN st USING (train_end_ord), ra GROUP BY 1, 2, 3),

@@ -19,16 +19,24 @@ from .wrappers import score_candidates
 PENALTY = 0.1   # fixed value: weight of the spread of the horizon errors
 
 
+def spread(d: int, seed: int = 42) -> list[tuple[float, float]]:
+    """(step, shift) of each of ``d`` coordinates: steps are powers of 1 / g, g the root above 1 of x^(d + 1) = x + 1."""
+    g = 2.0
+    for _ in range(60):
+        g = (1 + g) ** (1 / (d + 1))
+    return [(g ** -(j + 1) % 1, (0.5 + seed * g ** -(j + 2)) % 1) for j in range(d)]
+
+
 def param_candidates(spark: SparkSession, space: Mapping[str, Mapping], n: int, seed: int = 42) -> DataFrame:
-    """``n`` seeded random points of a space of int, uniform, log_uniform and categorical parameters.
+    """``n`` points of a space of int, uniform, log_uniform and categorical parameters, spread evenly.
 
-    The uniform numbers are hashes of (seed, parameter, candidate), so a row is
-    the same on any cluster and in any partition.
+    Parameter j of candidate i is the fraction of shift_j + (i + 1) a_j (see ``spread``), a low-discrepancy sequence in plain
+    arithmetic: a row is the same on any cluster and in any partition, and n points are the first n of more.
     """
     out = spark.range(n).withColumnRenamed("id", "candidate")
-    for name, spec in space.items():
-        h = F.xxhash64(F.lit(seed), F.lit(name), F.col("candidate"))
-        u = F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)
+    for (name, spec), (step, shift) in zip(space.items(), spread(len(space), seed)):
+        x = F.lit(shift) + (F.col("candidate") + 1) * F.lit(step)
+        u = x - F.floor(x)
         kind = spec["type"]
         if kind == "int":
             v = F.floor(spec["low"] + u * (spec["high"] - spec["low"] + 1)).cast("int")
