@@ -6,8 +6,10 @@ import html
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +34,24 @@ _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search fo
 _CHROME_WORDS = re.compile(
     r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|header|footer|sidebar|side|aside|ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|"
     r"popup|modal|overlay|newsletter|subscribe|social|share|sharing|related|recommend\w*|breadcrumb\w*|pagination|pager|comment\w*|disqus|respond|replies|widget|skip|login|search|form)(?:$|[-_\s])", re.I)
-#: Elements nested deeper than this belong to the one at this depth.
+#: Below this depth the tree is flat: texts and breaks between blocks hang on the element at this depth, chrome stays told apart.
 DEPTH = 150
-#: Children of two nodes are aligned by their longest common sequence up to this product of their numbers, else in order.
-ALIGN = 200_000
 MANY = 2
+#: Elements that lay out a page; one without class, id and role is told from its neighbours by what it holds.
+_BARE = frozenset("div section center".split())
+_LAYOUT = _BARE | frozenset("html body main article table tbody tr td".split())
+_PROSE = frozenset("p pre blockquote dl table ul ol h3 h4 h5 h6".split())
+#: Share of a level's varying text that one element must hold to be where the main text lies.
+DECISIVE = 0.6
 
 
 class Node:
-    """An element: ``sig`` is tag, class, id and role; children are elements and texts."""
+    """An element: ``sig`` is tag, class, id and role; children are elements and texts; ``key`` adds what a bare one holds."""
 
-    __slots__ = ("sig", "children")
+    __slots__ = ("sig", "key", "children")
 
     def __init__(self, sig: str):
-        self.sig, self.children = sig, []
+        self.sig, self.key, self.children = sig, sig, []
 
 
 def _signature(tag: str, attributes: str) -> str:
@@ -59,6 +65,23 @@ def parse(page: str) -> Node:
     """The page's token stream, bracketed into elements; tags that are left open end where HTML lets them."""
     root = Node("")
     stack = [root]
+
+    hidden = None   # place in the stack of the outermost chrome below DEPTH
+
+    def close(k: int) -> None:
+        nonlocal hidden
+        if len(stack) > DEPTH and any(n.sig.partition("|")[0] in _BLOCK for n in stack[max(k, DEPTH):]):
+            stack[DEPTH - 1].children.append(Node("hr"))
+        del stack[k:]
+        hidden = None if hidden is not None and hidden >= k else hidden
+
+    def add(child: Node | str) -> None:
+        if hidden is not None:
+            around = Node(stack[hidden].sig)
+            around.children.append(child)
+            child = around
+        stack[min(len(stack), DEPTH) - 1].children.append(child)
+
     at = 0
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -66,14 +89,14 @@ def parse(page: str) -> Node:
         name = m[2]
         if name is None:
             if m[0][0] != "<" or m[0] == "<":
-                stack[-1].children.append(m[0])
+                add(m[0])
             continue
         tag = name.lower()
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = stack[k].sig.partition("|")[0]
                 if open_tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if open_tag in _SCOPES and tag not in _SCOPES:
                     break
@@ -82,21 +105,44 @@ def parse(page: str) -> Node:
         for k in range(len(stack) - 1, 0, -1):
             open_tag = stack[k].sig.partition("|")[0]
             if open_tag in ends or open_tag == "p" and tag in _ENDS_P:
-                del stack[k:]
+                close(k)
                 break
             if open_tag in _SCOPES and not (ends and open_tag in ("td", "th") and tag in ("tr", "td", "th")):
                 break
         node = Node(_signature(tag, m[3]))
-        stack[-1].children.append(node)
+        opens = tag not in _RAW and tag not in _VOID and not m[3].rstrip().endswith("/")
+        if len(stack) < DEPTH or not opens:
+            add(node)
+        elif tag in _BLOCK:
+            add(Node("hr"))
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             node.children.append("")
             at = end.end() if end else len(page)
-        elif tag not in _VOID and not m[3].rstrip().endswith("/") and len(stack) < DEPTH:
+        elif opens:
             stack.append(node)
+            if hidden is None and len(stack) > DEPTH and chrome(node.sig):
+                hidden = len(stack) - 1
+    _hold(root)
     return root
 
 
+def _hold(node: Node) -> tuple[bool, bool, bool]:
+    """Signs bare elements by what they hold: links only (a), text (t) or blocks with text (b); returns (text, text that is no link, blocks)."""
+    text = plain = blocks = False
+    for c in node.children:
+        if isinstance(c, str):
+            if c.strip():
+                text = plain = True
+        else:
+            has, is_plain, inner = _hold(c)
+            text, plain = text or has, plain or is_plain
+            blocks = blocks or has and (inner or c.sig.partition("|")[0] in _BLOCK)
+    if node.sig in _BARE and text:
+        node.key = f"{node.sig}:{'a' if not plain else 'b' if blocks else 't'}"
+    return text, plain and node.sig.partition("|")[0] != "a", blocks
+
+
 # -- wrappers: [sig, least, most, children]; "#" is a text slot, "()" a group; least 0 is optional, most MANY repeats
 
 
@@ -113,13 +159,17 @@ def _key(n: list) -> str:
 
 
 def fold(nodes: list[list]) -> list[list]:
-    """Repeats side by side become one node or group that repeats."""
+    """Repeats side by side become one node or group that repeats; two bare elements with blocks are no repeat as yet."""
     out: list[list] = []
-    for n in nodes:
-        if out and _key(out[-1]) == _key(n):
-            out[-1] = [n[0], 1, MANY, merge(out[-1][3], n[3])]
-        else:
-            out.append(n)
+    for key, run in groupby(nodes, _key):
+        same = list(run)
+        if key.endswith(":b") and len(same) == 2:
+            out += same
+            continue
+        first, *more = same
+        for n in more:
+            first = [n[0], 1, MANY, merge(first[3], n[3])]
+        out.append(first)
     for period in (2, 3, 4):
         keys, i, folded = [_key(n) for n in out], 0, []
         while i < len(out):
@@ -151,37 +201,36 @@ def _grouped(nodes: list[list], other: list[list]) -> list[list]:
     return nodes
 
 
+def longest_common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence; rows of the table are bits of one integer, so no length is too long."""
+    bits: dict[str, int] = {}
+    for j, k in enumerate(y):
+        bits[k] = bits.get(k, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    rows, row = [], full
+    for k in x:
+        hit = row & bits.get(k, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    pairs, i, j = [], len(x), len(y)
+    while i and j:
+        if rows[i - 1] >> j - 1 & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> j - 1 & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+    return pairs[::-1]
+
+
 def merge(a: list[list], b: list[list]) -> list[list]:
     """One expression for what either matches: aligned nodes are merged, the mismatched become optional."""
     if a == b:
         return a
     a, b = _grouped(a, b), _grouped(b, a)
     x, y = [_key(n) for n in a], [_key(n) for n in b]
-    pairs = []
-    if len(x) * len(y) <= ALIGN:
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-    else:
-        places: dict[str, list[int]] = {}
-        for j, k in enumerate(y):
-            places.setdefault(k, []).append(j)
-        done = -1
-        for i, k in enumerate(x):
-            j = next((j for j in places.get(k, ()) if j > done), None)
-            if j is not None:
-                pairs.append((i, j))
-                done = j
+    pairs = longest_common(x, y)
     out, i, j = [], 0, 0
     for p, q in [*pairs, (len(a), len(b))]:
         out += [_optional(n) for n in a[i:p]] + [_optional(n) for n in b[j:q]]
@@ -195,7 +244,7 @@ def fold_optional(nodes: list[list]) -> list[list]:
     """Neighbours of one signature are one node that repeats; it stays optional only if all of them were."""
     out: list[list] = []
     for n in nodes:
-        if out and _key(out[-1]) == _key(n):
+        if out and _key(out[-1]) == _key(n) and not (n[0].endswith(":b") and n[1] and out[-1][1]):
             out[-1] = [n[0], max(out[-1][1], n[1]), MANY, merge(out[-1][3], n[3])]
         else:
             out.append(n)
@@ -210,11 +259,12 @@ def skeleton(node: Node) -> list[list]:
             if c.strip() and not (out and out[-1][0] == "#"):
                 out.append(["#", 1, 1, []])
         else:
-            out.append([c.sig, 1, 1, skeleton(c)])
+            out.append([c.key, 1, 1, skeleton(c)])
     return fold(out)
 
 
 def chrome(sig: str) -> bool:
+    """Signs of chrome in tag, class, id or role."""
     tag, _, rest = sig.partition("|")
     if tag in _CHROME_TAGS:
         return True
@@ -225,32 +275,160 @@ def chrome(sig: str) -> bool:
 
 
 def main(sig: str) -> bool:
+    """Signs of a main container."""
     tag, _, rest = sig.partition("|")
     return tag in ("article", "main") or rest.endswith("|main")
 
 
-def roles(wrapper: list[list], inside: str = "body") -> dict:
-    """What each place of a wrapper is: {sig: (role, places below)}; role is chrome, main, links or body.
+class Place:
+    """A node of a wrapper; groups are dissolved into their parts. ``ident`` counts places from the front."""
+
+    __slots__ = ("key", "ident", "many", "kids", "at", "role", "mass", "pages", "kinds")
+
+    def __init__(self, key: str, ident: int, many: bool):
+        self.key, self.ident, self.many, self.kids, self.at, self.role = key, ident, many, [], {}, "body"
+        self.mass = self.pages = self.kinds = 0
+
+    @property
+    def tag(self) -> str:
+        return self.key.partition("|")[0].partition(":")[0]
+
+    def match(self, children: list) -> list[Place | None]:
+        """The place of each child of an element that has this place; texts have none."""
+        keys = [None if isinstance(c, str) else c.key for c in children]
+        found = [self.kids[self.at[k][0]] if k in self.at and len(self.at[k]) == 1 else None for k in keys]
+        unsure = [i for i, k in enumerate(keys) if k in self.at and len(self.at[k]) > 1]
+        if unsure:
+            known = [i for i, k in enumerate(keys) if k in self.at]
+            pairs = {known[i]: j for i, j in longest_common([keys[i] for i in known], [p.key for p in self.kids])}
+            last = -1
+            for i in known:
+                if i in pairs:
+                    last = pairs[i]
+                elif not (last >= 0 and self.kids[last].key == keys[i] and self.kids[last].many):
+                    last = next((j for j in self.at[keys[i]] if j > last), self.at[keys[i]][-1])
+                if i in unsure or i in pairs:
+                    found[i] = self.kids[last]
+        return found
+
+
+def places(wrapper: list[list]) -> Place:
+    """The wrapper's places below a root; equal wrappers give equal numbers."""
+    count = 0
+
+    def grow(into: Place, nodes: list[list], many: bool) -> None:
+        nonlocal count
+        for n in nodes:
+            if n[0] == "()":
+                grow(into, n[3], True)
+            elif n[0] != "#":
+                count += 1
+                p = Place(n[0], count, many or n[2] > 1)
+                grow(p, n[3], False)
+                into.at.setdefault(p.key, []).append(len(into.kids))
+                into.kids.append(p)
+
+    root = Place("", 0, False)
+    grow(root, wrapper, False)
+    return root
+
+
+def slots(page: str, root: Place) -> dict[int, str]:
+    """Text that is no link, by the place of the block it stands in."""
+    out: dict[int, list[str]] = {}
+
+    def walk(node: Node, place: Place, block: int) -> None:
+        for c, p in zip(node.children, place.match(node.children)):
+            if isinstance(c, str):
+                if c.strip():
+                    out.setdefault(block, []).append(c)
+            elif p is not None and p.tag != "a":
+                walk(c, p, p.ident if p.tag in _BLOCK else block)
+
+    walk(parse(page), root, 0)
+    return {k: " ".join("".join(v).split()) for k, v in out.items()}
+
+
+def roles(wrapper: list[list], seen: list[tuple[int, int, int, int]]) -> list:
+    """What each place of a wrapper is, as [key, role, many, places below]; role is chrome, main or body.
 
-    A repeated group all of whose slots are link texts is a menu (``links``), outside a main container.
+    ``seen`` has for each place the characters of its different texts on the host's pages, the number of pages, and that of
+    different texts. Text that pages share counts once, so from the root down the main text lies in the element that holds
+    most (``DECISIVE``) of a level's varying text; all beside it is chrome, and so are menus of links and, inside, short
+    blocks with the same text on nearly all of five or more pages. Signs in tag, class, id and role rule elements out, and
+    point to the main text only where no element of a level is decisive. Then the body is kept, less its chrome.
     """
-    out: dict = {}
-    for n in wrapper:
-        if n[0] == "#":
-            continue
-        if n[0] == "()":
-            below = roles(n[3], inside)
-            for k, v in below.items():
-                out.setdefault(k, v)
+    root = places(wrapper)
+    nodes = {n.ident: n for n in _all(root)}
+    for ident, mass, pages, kinds in seen:
+        nodes[ident].mass, nodes[ident].pages, nodes[ident].kinds = mass, pages, kinds
+    forms = dict(zip((n.ident for n in _all(root)), _forms(wrapper)))
+
+    def total(p: Place) -> int:
+        return 0 if p.role == "chrome" else p.mass + sum(total(k) for k in p.kids)
+
+    def mark(p: Place, role: str) -> None:
+        for n in _all(p):
+            n.role = role if n.role != "chrome" else "chrome"
+
+    for n in nodes.values():
+        if n.ident and (chrome(n.key) or n.tag in ("ul", "ol", "div") and _only_links(forms[n.ident]) and _repeats(forms[n.ident])):
+            n.role = "chrome"
+    at = root
+    while True:
+        below = [k for k in at.kids if k.role != "chrome"]
+        whole = total(at)
+        prose = sum(total(k) for k in below if k.tag in _PROSE or k.tag not in _BLOCK) + at.mass
+        title = any(k.tag in ("h1", "h2") and 2 * k.kinds > k.pages for k in below)
+        best = max(below, key=total, default=None)
+        if not title and 10 * prose < whole and best.tag in _LAYOUT and not best.many and total(best) >= DECISIVE * whole:
+            at = best
             continue
-        role = "chrome" if inside == "chrome" or chrome(n[0]) else "main" if inside == "main" or main(n[0]) else "body"
-        if role == "body" and n[0].partition("|")[0] in ("ul", "ol", "div") and _only_links(n) and _repeats(n):
-            role = "links"
-        below = roles(n[3], role if role != "links" else "chrome")
-        if n[0] in out:   # the same signature at two places of one level
-            below = {**out[n[0]][1], **below}
-        out[n[0]] = (role, below)
-    return out
+        break
+    marked = [k for k in below if main(k.key)]
+    if marked and not title and 10 * prose < whole:
+        for k in marked:
+            mark(k, "main")
+    elif at.tag not in ("", "html", "body"):
+        mark(at, "main")
+    inside = [n for n in nodes.values() if n.role == "main"]
+    if any(2 * n.kinds > n.pages for n in inside):
+        for n in inside:
+            if n.pages >= 5 and 5 * n.kinds <= n.pages and n.tag in _BARE | {"p"} and not n.many and not n.kids:
+                n.role = "chrome"
+    return _pack(root)
+
+
+def _all(p: Place) -> Iterator[Place]:
+    yield p
+    for k in p.kids:
+        yield from _all(k)
+
+
+def _forms(wrapper: list[list], top: bool = True) -> Iterator[list]:
+    """Nodes of the wrapper in the order of its places."""
+    if top:
+        yield ["", 1, 1, wrapper]
+    for n in wrapper:
+        if n[0] not in ("#", "()"):
+            yield n
+        yield from _forms(n[3], False)
+
+
+def _pack(p: Place) -> list:
+    """Places below one whose roles are all its own need not be told apart."""
+    alike = all(n.role == p.role for n in _all(p)) and p.role != "body" or p.role == "chrome"
+    return [p.key, p.role, int(p.many), [] if alike else [_pack(k) for k in p.kids]]
+
+
+def unpack(tree: list) -> Place:
+    """The places that ``roles`` told apart."""
+    p = Place(tree[0], 0, bool(tree[2]))
+    p.role = tree[1]
+    for t in tree[3]:
+        p.at.setdefault(t[0], []).append(len(p.kids))
+        p.kids.append(unpack(t))
+    return p
 
 
 def _only_links(n: list, link: bool = False) -> bool:
@@ -266,10 +444,11 @@ def _has_link(n: list) -> bool:
     return any(c[0] == "a" or _has_link(c) for c in n[3])
 
 
-def extract(page: str, places: dict) -> str:
-    """The page's main text: the slots of the wrapper's main containers, or where the page has none, of its body.
+def extract(page: str, root: Place | None) -> str:
+    """The page's main text: what its wrapper's main places hold, or where the page has none, its body without chrome.
 
     Blocks are joined by a line break; inside one, references are decoded and white space (a ``br`` as well) is one blank.
+    Without a wrapper all text is kept.
     """
     blocks: list[tuple[bool, str]] = []
     held: list[str] = []
@@ -280,24 +459,24 @@ def extract(page: str, places: dict) -> str:
         if text:
             blocks.append((is_main, text))
 
-    def walk(node: Node, below: dict, is_main: bool) -> None:
-        for c in node.children:
+    def walk(node: Node, place: Place | None, is_main: bool) -> None:
+        for c, p in zip(node.children, place.match(node.children) if place and place.kids else [None] * len(node.children)):
             if isinstance(c, str):
                 held.append(c)
                 continue
             tag = c.sig.partition("|")[0]
-            role, inner = below.get(c.sig) or ("chrome" if chrome(c.sig) else "main" if is_main or main(c.sig) else "body", {})
+            role = p.role if p else "main" if is_main else "body"
             if tag == "br":
                 held.append(" ")
             block = tag in _BLOCK or role == "main" and not is_main
             if block:
                 flush(is_main)
-            if role not in ("chrome", "links"):
-                walk(c, inner, is_main or role == "main")
+            if role != "chrome":
+                walk(c, p, role == "main")
             if block:
-                flush(is_main or role == "main")
+                flush(role == "main")
 
-    walk(parse(page), places, False)
+    walk(parse(page), root, False)
     flush(False)
     some = any(m for m, _ in blocks)
     return "\n".join(t for m, t in blocks if m or not some)
@@ -347,18 +526,59 @@ def infer(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     return _fold_rows(_fold_rows(single, partitions, True), partitions, False)
 
 
+def _met(pages: DataFrame, wrappers: DataFrame, url: str, page: str, keep: tuple[str, ...], what: str) -> DataFrame:
+    """Pages beside ``what`` of their host, in a join of whole tables on the host, whose hot hosts AQE can split."""
+    told = wrappers.select(F.col("host").alias("__host"), F.col(what).alias("__told"))
+    rows = pages.select(F.col(page).cast("string").alias("__page"), F.col(url).alias("url"), *keep, host_of(F.col(url)).alias("__own"))
+    return rows.join(told, rows["__own"] == told["__host"], "left")
+
+
+def place_roles(pages: DataFrame, wrappers: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """(host, roles): every page is read through its host's wrapper, texts are counted by place, and ``roles`` decides.
+
+    Texts are digested and counted in the tasks before they are shuffled; what is left of a host is one row for a place.
+    """
+    kind = pa.schema([("host", pa.string()), ("place", pa.int64()), ("digest", pa.int64()), ("chars", pa.int64()), ("pages", pa.int64())])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Place] = {}
+        for batch in batches:
+            for part in slices(batch, 0, 4 << 20):
+                seen: dict[tuple, list[int]] = {}
+                for p, w, host in zip(*[c.to_pylist() for c in part.columns]):
+                    if w not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[w] = places(json.loads(w))
+                    for place, text in slots(p or "", known[w]).items():
+                        row = seen.setdefault((host, place, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)), [len(text), 0])
+                        row[1] += 1
+                yield pa.RecordBatch.from_pylist([dict(zip(kind.names, (*k, *v))) for k, v in seen.items()], schema=kind)
+
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, forms, seen = (c.to_pylist() for c in batch.columns)
+            told = [json.dumps(roles(json.loads(w), [(r["place"], r["mass"], r["pages"], r["kinds"]) for r in s or []])) for w, s in zip(forms, seen)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(told, pa.string())], names=["host", "roles"])
+
+    met = _met(pages, wrappers, url, page, (), "wrapper").select("__page", "__told", "__own")
+    texts = met.mapInArrow(count, "host string, place long, digest long, chars long, pages long").groupBy("host", "place", "digest").agg(F.max("chars").alias("chars"), F.sum("pages").alias("pages"))
+    sums = texts.groupBy("host", "place").agg(F.sum("chars").alias("mass"), F.sum("pages").alias("pages"), F.count("*").alias("kinds"))
+    lists = sums.groupBy("host").agg(F.collect_list(F.struct("place", "mass", "pages", "kinds")).alias("seen"))
+    return wrappers.join(lists, "host", "left").select("host", "wrapper", "seen").mapInArrow(decide, "host string, roles string")
+
+
 def main_text(pages: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep`` columns, url, text and n_chars (code points) of every page, read through its host's wrapper.
 
-    Null or empty html, and a page without main text, give an empty text. Pages without a host share one wrapper. Pages
-    meet the wrappers in a join of whole tables on the host, whose hot hosts AQE can split. Repeated rows each get a result.
+    Null or empty html, and a page without main text, give an empty text. Pages without a host share one wrapper. Repeated
+    rows each get a result, an empty table gives an empty result.
     """
-    wrappers = settle(infer(pages, url, page)).withColumnRenamed("host", "__host")
-    rows = pages.select(F.col(page).cast("string").alias("__page"), F.col(url).alias("url"), *keep, host_of(F.col(url)).alias("__own"))
-    met = rows.join(wrappers, rows["__own"] == wrappers["__host"], "left").select("__page", "wrapper", "url", *keep)
+    told = settle(place_roles(pages, settle(infer(pages, url, page)), url, page))
+    met = _met(pages, told, url, page, keep, "roles").select("__page", "__told", "url", *keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[str, Place | None] = {}
         for batch in batches:
             for part in slices(batch, 0, 4 << 20):
                 texts = []
@@ -366,7 +586,7 @@ def main_text(pages: DataFrame, url: str = "url", page: str = "html", keep: tupl
                     if w not in known:
                         if len(known) > 1000:
                             known.clear()
-                        known[w] = roles(json.loads(w)) if w else {}
+                        known[w] = unpack(json.loads(w)) if w else None
                     texts.append(extract(p, known[w]) if p else "")
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*part.schema.names[2:], "text", "n_chars"])
 

@@ -1,6 +1,8 @@
 """The operators' methods on planted cases."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from panelmill.llm import bpe, langid, merkle, packing, pii, simhash, substring,
 from panelmill.llm.common import maybe_in
 from panelmill.llm.tokens import encoder, word_bpe_path
 from panelmill.session import ship
+from tests.oracle import DATA
 
 
 @pytest.fixture(autouse=True)
@@ -188,6 +191,60 @@ def test_wrapper_matches_optional_and_repeated():
     assert kinds["p"] == (1, wrapper.MANY) and kinds["b"] == (0, 1) and kinds["i"] == (0, 1)
 
 
+def anonymous(page):
+    """The page with no telling tag and no class, id or role."""
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|header|aside|main)\b", r"<\1div", page))
+
+
+def test_wrapper_finds_main_text_without_telling_names(spark):
+    """All pages of hosts with three pages or more come out the same; a lone page whose article is no longer than its advert may not."""
+    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = pages.withColumn("host", wrapper.host_of(F.col("url"))).collect()
+    bare = spark.createDataFrame([(r["page_id"], r["url"], anonymous(r["html"])) for r in rows], pages.schema)
+    want = {r["page_id"]: r["text"] for r in wrapper.main_text(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(bare).collect()}
+    hosts = Counter(r["host"] for r in rows)
+    assert sum(hosts[r["host"]] >= 3 for r in rows) > 100
+    assert all(got[r["page_id"]] == want[r["page_id"]] for r in rows if hosts[r["host"]] >= 3)
+    assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
+    assert all(wrapper.extract(r["html"], None) != want[r["page_id"]] for r in rows)   # without wrappers nothing is left out
+
+
+def test_wrapper_drops_what_a_host_repeats(spark):
+    """A bare notice with the same text on all pages is no main text, a heading with the same text is; a copy of a page changes nothing."""
+    def page(k):
+        body = "".join(f"<p>Paragraph {k} {j} with words of its own</p>" for j in range(1 + k % 4))
+        return f"<body><div>Welcome to this place</div><div><h1>Title {k}</h1><h2>Part</h2><div>Please tell your friends</div>{body}</div><div>Made by us, all of us, {k}</div></body>"
+
+    rows = [(k, "http://h/", page(k % 9)) for k in range(10)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(10):
+        j = k % 9
+        assert got[k] == "\n".join([f"Title {j}", "Part", *[f"Paragraph {j} {i} with words of its own" for i in range(1 + j % 4)]])
+
+
+def test_chrome_is_told_at_any_depth():
+    for depth in (1, 140, 149, 150, 151, 400, 3000):
+        page = "<div>" * depth + "<nav><div>menu</div></nav><p>one <b>bold</b><br>text</p><p>two</p><form>ask <b>me</b></form>" + "</div>" * depth + "<p>last</p>"
+        tree = wrapper.unpack(wrapper.roles(wrapper.skeleton(wrapper.parse(page)), []))
+        assert wrapper.extract(page, tree) == "one bold text\ntwo\nlast", depth
+
+
+def test_longest_common_is_longest_at_any_length():
+    rng = random.Random(4)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+        pairs = wrapper.longest_common(x, y)
+        assert len(pairs) == best[-1][-1] and all(x[i] == y[j] for i, j in pairs)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+    many = [str(i) for i in range(3000)]
+    assert len(wrapper.longest_common(many, many[::2])) == 1500
+
+
 def slow_tree(text):
     """Sections of paragraphs of leaves as texts, cut character by character."""
     paragraphs = [p for p in (x + "\n" for x in text.split("\n")[:-1])] + ([text.split("\n")[-1]] if text.split("\n")[-1] else [])
