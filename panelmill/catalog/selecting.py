@@ -9,11 +9,12 @@ from ..operators import embedded as E
 from ..operators import filters as T
 from ..operators import gram as G
 from ..operators import linear as L
+from ..operators import neighbours as K
 from ..operators import wrappers as R
 from ..operators.folds import fold_plan, period_axis
-from ..plans.panels import LINE_FEATURES, line_rows
+from ..plans.panels import LINE_FEATURES, line_rows, nation_panel
 from ..plans.selection import run_all_fs
-from .common import LINE_ROWS, folds_sql, query
+from .common import LINE_ROWS, NATION_MONTH, folds_sql, query
 
 LINE_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -142,6 +143,29 @@ def t1b(spark, sf):
     return T.mutual_info_binned(cells.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("c")), 2)
 
 
+@query("t1_mutual_info_neighbours", "feature:s mi_score:8 mi_normalized:8 selected:b")
+def t1n(spark, sf):
+    return K.mutual_info_neighbours(line_rows(spark, sf), LINE_FEATURES, "target", top_k=5)
+
+
+LATTICE = " UNION ALL ".join(f"SELECT '{c}' AS feature, row_number() OVER () AS i, CAST(round(({c} - m_{c})/s_{c}*4294967296) AS BIGINT) AS x, CAST(round((y - m_y)/s_y*4294967296) AS BIGINT) AS z FROM st" for c in ("n_orders", "avg_price"))
+
+
+@query("t1_mutual_info_neighbours_panel", "feature:s mi_score:6 mi_normalized:6 selected:b", f"""
+WITH {NATION_MONTH}, st AS (SELECT *, {', '.join(f'avg({c}) OVER () AS m_{c}, stddev_pop({c}) OVER () AS s_{c}' for c in ('n_orders', 'avg_price', 'y'))} FROM nm),
+p AS ({LATTICE}), d AS (SELECT a.feature, a.i, greatest(abs(a.x - b.x), abs(a.z - b.z)) AS d FROM p a JOIN p b ON a.feature = b.feature AND a.i <> b.i),
+k AS (SELECT feature, i, list_sort(min(d, 3))[3] AS rho FROM d GROUP BY ALL),
+w AS (SELECT a.feature, a.i, any_value(rho) AS rho, count(*) AS n, count(*) FILTER (abs(a.x - b.x) < rho OR rho = 0 AND a.x = b.x) AS nx,
+      count(*) FILTER (abs(a.z - b.z) < rho OR rho = 0 AND a.z = b.z) AS nz, count(*) FILTER (a.x = b.x AND a.z = b.z) AS c
+      FROM p a JOIN k ON a.feature = k.feature AND a.i = k.i JOIN p b ON a.feature = b.feature GROUP BY 1, 2),
+h AS (SELECT m, sum(CASE WHEN m > 1 THEN 1.0/(m - 1) ELSE 0.0 END) OVER (ORDER BY m) AS psi FROM (SELECT unnest(range(1, (SELECT max(n) + 1 FROM w))) AS m)),
+e AS (SELECT w.feature, greatest(0.0, avg(hk.psi + hn.psi - hx.psi - hz.psi)) AS mi_score FROM w JOIN h hk ON hk.m = CASE WHEN rho = 0 THEN c - 1 ELSE 3 END
+      JOIN h hn ON hn.m = w.n JOIN h hx ON hx.m = w.nx JOIN h hz ON hz.m = w.nz GROUP BY 1)
+SELECT *, mi_score/max(mi_score) OVER () AS mi_normalized, row_number() OVER (ORDER BY mi_score DESC, feature) <= 1 AS selected FROM e""")
+def t1np(spark, sf):
+    return K.mutual_info_neighbours(nation_panel(spark, sf), ["n_orders", "avg_price"], "y", top_k=1)
+
+
 CORR = " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS n, corr({c}, target) AS correlation FROM lr" for c in LINE_FEATURES)
 
 
