@@ -94,3 +94,13 @@ def test_quantiles_of_values_that_change_when_read_again(spark):
     noise = F.udf(lambda: random.random(), "double").asNondeterministic()   # as sums added up in another order
     q = X.quantiles(spark.range(60).select(F.lit("x").alias("variable"), noise().alias("value")), [0.25, 0.5]).first()
     assert q.n == 60 and 0 < q.q[0] < q.q[1] < 1
+
+
+def test_permuted_shuffles_and_sorts_rows_once(spark):
+    d = pd.DataFrame({"id": np.arange(300) // 2, "a": np.arange(300.0), "s": [f"v{i}" for i in range(300)]})   # ids come twice
+    got = X.permuted(spark.createDataFrame(d), ["a", "s"], ["id"], 4)
+    plan = got._jdf.queryExecution().toString()
+    assert plan.split("Physical Plan")[-1].count("Sort ") == 1
+    rows = got.toPandas()
+    for r in range(4):
+        assert sorted(p[r]["a"] for p in rows["__p"]) == list(d.a) and all(p[r]["s"] == f"v{int(p[r]['a'])}" for p in rows["__p"])
