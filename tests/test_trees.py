@@ -181,3 +181,45 @@ def test_boruta_decides(spark):
     assert one.rounds.min() < 40 and one.selected[["s1", "s2", "s3"]].all()
     few = E.boruta(df, ["n0", "n1", "n2", "n3"], "y", ["id"], rounds=3, trees=5, depth=3).toPandas()
     assert few.selected.sum() == 3   # topped up
+
+
+def test_routes_lead_where_single_steps_do():
+    rng = np.random.default_rng(4)
+    for depth in (1, 3, 5, 7):
+        size = (2 << depth) - 1
+        feature, cut = rng.integers(-1, 3, size), rng.integers(0, 31, size)
+        feature[(1 << depth) - 1:] = -1
+        bins = rng.integers(0, 32, (3, 200)).astype(np.uint8)
+        node = T.reach(T.Route(feature, cut, depth), bins.ravel(), 200, 20, 200)
+        for i, got in zip(range(20, 200), node):
+            at = 0
+            for _ in range(depth):
+                f = feature[at]
+                at = 2 * at + 1 + int(f >= 0 and bins[f, i] > cut[at])
+            assert at == got
+
+
+def test_boosting_counts_the_smaller_child_only(data, monkeypatch):
+    _, df = data
+    counted, old = [], T._subset
+    plain = T.fit_trees(df, "y", FEATS, "gbt", cuts=CUTS, rounds=3, depth=3)
+    monkeypatch.setattr(T, "HALVED", 100)
+    assert np.allclose(T.fit_trees(df, "y", FEATS, "gbt", cuts=CUTS, rounds=3, depth=3).value, plain.value)
+    monkeypatch.setattr(T, "_subset", lambda *a: counted.append(a[3]) or old(*a))
+    model = T.fit_trees(df, "y", FEATS, "gbt", cuts=CUTS, rounds=1, depth=3)
+    splits = int((model.feature[0, :3] >= 0).sum())
+    assert splits == 3 and len(counted) == 1 + 1 + 2   # not 1 + 2 + 4
+
+
+def test_changes_equal_scores_of_changed_rows(data):
+    d, df = data
+    for depth in (3, 7):
+        model = T.fit_trees(df, "y", FEATS, "gbt", cuts=CUTS, rounds=4, depth=depth)
+        bins = np.ascontiguousarray(model.bins(d[FEATS].to_numpy()[:90]).T)
+        mixed = [bins[k][np.stack([np.roll(np.arange(90), r) for r in (1, 5)])] for k in range(4)]
+        for k, change in enumerate(A._changes(model, bins, mixed)):
+            for r in range(2):
+                turned = bins.copy()
+                turned[k] = mixed[k][r]
+                want = model.score(turned) - model.score(bins)
+                assert np.allclose(want, 0 if change is None else change[r])
