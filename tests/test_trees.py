@@ -223,3 +223,55 @@ def test_changes_equal_scores_of_changed_rows(data):
                 turned[k] = mixed[k][r]
                 want = model.score(turned) - model.score(bins)
                 assert np.allclose(want, 0 if change is None else change[r])
+
+
+def test_forest_counts_on_packed_bins(monkeypatch):
+    """14 features fill two integers; windows of one tree share its draw; small blocks are joined; counts equal those row by row."""
+    rng, p, depth = np.random.default_rng(3), 14, 7
+    rows = [{"n": n, "x": rng.integers(0, 32, (n, p)).astype(np.uint8).tobytes(), "y": rng.normal(size=n).tobytes(),
+             "ord": np.sort(rng.integers(0, 30, n)).tobytes(), "h": rng.integers(0, 1 << 63, n).astype(np.uint64).tobytes()} for n in (300, 1, 450)]
+    spans = [(0, 29), (5, 20), (40, 50)]
+    blocks = list(T._pack(rows, p, spans))
+    assert len(blocks) == 1 and blocks[0]["words"].shape == (2, 751)
+    monkeypatch.setattr(T, "PIECE", 1)
+    apart = list(T._pack(rows, p, spans))
+    x, y, h, o = (np.concatenate([np.frombuffer(r[c], kind).reshape(r["n"], -1) for r in rows]) for c, kind in (("x", np.uint8), ("y", "<f8"), ("h", "<u8"), ("ord", "<i8")))
+    y, h, o = y[:, 0], h[:, 0], o[:, 0]
+    for level in range(depth):
+        tree = T._Tree(0, 0, depth)
+        for i in range((1 << level) - 1):
+            if rng.random() < 0.9:
+                tree.feature[i], tree.cut[i] = rng.integers(0, p), rng.integers(4, 28)
+        width = 1 << level
+        active = np.arange(width)
+        active[rng.random(width) < 0.3] = -1
+        active[active >= 0] = np.arange((active >= 0).sum())
+        slots = rng.integers(0, p, (max(1, active.max() + 1), 5))
+        route = T.Route(tree.feature, tree.cut, level)
+        growing = [(u, t, drawn, route, active, slots) for t, drawn in ((0, True), (1, True), (0, False)) for u in range(3)]
+        drew = []
+        draw = T._draw
+        monkeypatch.setattr(T, "_draw", lambda b, t, s: drew.append(t) or draw(b, t, s))
+        found = dict(T._counted(blocks, growing, level, 42))
+        monkeypatch.setattr(T, "_draw", draw)
+        assert drew == [0, 1, -1]
+        others = dict(T._counted(apart, growing, level, 42))
+        assert found.keys() == others.keys() == {0, 1, 3, 4, 6, 7}
+        for g, (u, t, drawn, *_) in enumerate(growing):
+            if u == 2:
+                continue
+            w = np.ones(len(y))
+            if drawn:
+                at, n = T._weights(h, t, 42)
+                w = np.zeros(len(y))
+                w[at] = n
+            want = np.zeros((2, len(slots), 5, T.BINS))
+            for r in np.flatnonzero((o >= spans[u][0]) & (o <= spans[u][1]) & (w > 0)):
+                i = 0
+                for _ in range(level):
+                    f = tree.feature[i]
+                    i = 2 * i + 1 + int(f >= 0 and x[r, f] > tree.cut[i])
+                node = active[i - width + 1]
+                for s in range(5) if node >= 0 else ():
+                    want[:, node, s, x[r, slots[node, s]]] += w[r], w[r] * y[r]
+            assert (found[g][0] == want[0]).all() and np.allclose(found[g], want) and np.allclose(others[g], want)
