@@ -15,9 +15,19 @@ from .common import doc_key, nest, shuffle_partitions, slices, texts_of, unnest
 
 #: Fingerprints in a tile, the unit that is shipped, and in a block, the unit that is compared or skipped.
 TILE, BLOCK = 8192, 256
+#: Rows of the tables below the documents that a task writes, about.
+ROWS = 1 << 16
 _WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
+def written(table: DataFrame, rows: int) -> DataFrame:
+    """``settle`` by one task for each ROWS of about ``rows`` rows (two at least), however many shuffle partitions there are.
+
+    Every file costs its executor processes and buffers, so a small table is a few files.
+    """
+    return settle(table.coalesce(max(2, -(-rows // ROWS))))
+
+
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """SimHash of the text's word shingles, repeats included; 0 without a word."""
     words = text.lower().split()
@@ -150,8 +160,8 @@ def compare(x: np.ndarray, y: np.ndarray, radius: int, same: bool) -> tuple[np.n
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """(u, v) with u < v: links within ``radius`` bits that join what all such links join, for distinct ``fp``."""
     spark = distinct.sparkSession
-    partitions = shuffle_partitions(spark)
-    held = settle(tiles(distinct, partitions))
+    partitions, n = shuffle_partitions(spark), distinct.count()
+    held = written(tiles(distinct, partitions), n)
     near = [64 * dh + dl for dh in range(-radius, radius + 1) for dl in range(-radius, radius + 1) if abs(dh) + abs(dl) <= radius]
     own = held.select(F.col("tile").alias("a"), F.explode("cells").alias("cell"))
     other = held.select(F.col("tile").alias("b"), F.explode("cells").alias("c")).select("b", F.explode(F.array(*[F.col("c") + d for d in near])).alias("cell")).distinct()
@@ -168,7 +178,7 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     found = work.select("a", "b", "left", "right").mapInArrow(run, "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), n)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -178,16 +188,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     takes minima for each node, summed up before they are shuffled, and joins them back, where AQE can split hot nodes.
     """
     star = settle(edges.select("u", "v"))
-    before = None
+    n, before = star.count(), None
     for _ in range(max_rounds):
         both = star.union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), n)
         # large star: larger neighbours of a node go to its smallest neighbour
-        large = settle(both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct())
+        large = written(both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), n)
         # small star: smaller neighbours of a node, and itself, go to the smallest
-        least = settle(large.groupBy("v").agg(F.min("u").alias("m")))
+        least = written(large.groupBy("v").agg(F.min("u").alias("m")), n)
         small = large.join(least, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
-        star = settle(small)
+        star = written(small, n)
         now = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return star.select(F.col("v").alias("node"), F.col("u").alias("root")).union(star.select("u", "u").distinct())
@@ -198,10 +208,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, fp) of every row, and (fp, low, root): the smallest doc_id of each fingerprint and its component."""
     marked = settle(fingerprints(docs, doc_id, text, width, seed))
-    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), marked.count())
     roots = components(links(distinct.select("fp"), radius))
     named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    return marked, settle(named)
+    return marked, written(named, distinct.count())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
@@ -212,7 +222,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null doc_id gets the smallest id of its component, null where there is none. Every row has a result, repeated ones too.
     """
     marked, named = _grouped(docs, doc_id, text, width, radius, seed)
-    lowest = settle(named.groupBy("root").agg(F.min("low").alias("component_id")))   # written, so the join can split a hot root
+    lowest = written(named.groupBy("root").agg(F.min("low").alias("component_id")), named.count())   # written, so the join can split a hot root
     of = named.join(lowest, "root").select(F.col("fp").alias("__fp"), "component_id")
     return marked.join(of, marked["fp"] == of["__fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -224,7 +234,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked, named = _grouped(docs, doc_id, text, width, radius, seed)
     of = named.select(F.col("fp").alias("__fp"), "root")
     first = marked.join(of, marked["fp"] == of["__fp"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    stay = settle(first.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("stay")))
+    stay = written(first.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("stay")), named.count())
     keyed = nest(docs, own=F.xxhash64(doc_key(F.col(text))))
     kept = keyed.join(stay, keyed["row"][doc_id].eqNullSafe(stay["id"]) & (F.col("own") == F.col("stay")), "left_semi")
     return unnest(kept.groupBy(F.col("row")[doc_id].alias("id"), "own").agg(F.min("row").alias("row")), docs.columns)

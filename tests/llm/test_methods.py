@@ -81,6 +81,32 @@ def test_long_chain_is_one_component(spark):
     assert {roots[x] for x in chain[:-1]} == {0} and chain[-1] not in roots
 
 
+def test_simhash_writes_small_tables_as_few_files(spark, monkeypatch):
+    """Every file costs its executor processes, so the tables of few rows are not one file for each shuffle partition."""
+    files = []
+
+    def settle(table):
+        out = real(table)
+        files.append(len(out.inputFiles()))
+        return out
+
+    real = simhash.settle
+    monkeypatch.setattr(simhash, "settle", settle)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 5000, 30)) for _ in range(300)]
+    texts += [f"{t} w0" for t in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert simhash.near_duplicates(docs).count() == 340
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len(files) > 5 and max(files[1:]) <= 2   # the first holds the documents' fingerprints
+
+
 def test_group_of_copies_is_one_node(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same text of a few words").otherwise(F.concat(F.lit("text no "), F.md5(F.col("id").cast("string")))).alias("text"))
     rows = simhash.near_duplicates(docs).where("doc_id % 3 = 0").select("component_id").distinct().collect()
