@@ -275,3 +275,36 @@ def test_forest_counts_on_packed_bins(monkeypatch):
                 for s in range(5) if node >= 0 else ():
                     want[:, node, s, x[r, slots[node, s]]] += w[r], w[r] * y[r]
             assert (found[g][0] == want[0]).all() and np.allclose(found[g], want) and np.allclose(others[g], want)
+
+
+def test_boosting_adds_histograms_up_without_a_shuffle(spark, data, monkeypatch):
+    _, df = data
+    fit = lambda: T.fit_units(df, "y", FEATS, [(0, 14, {"rounds": 4, "depth": 3}), (0, 29, {"rounds": 4, "depth": 3})], "gbt", cuts=CUTS)
+    shuffles = []
+    by_key = T.np.add
+    plain = type(df.rdd).reduceByKey
+    monkeypatch.setattr(type(df.rdd), "reduceByKey", lambda rdd, f, *a: (shuffles.append(f is by_key), plain(rdd, f, *a))[1])
+    near = fit()
+    assert len(shuffles) == 2   # base and tally, none of the 12 passes
+    monkeypatch.setattr(T, "CELLS", 1)   # every tree in a pass of its own, by shuffle
+    for a, b in zip(near, fit()):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all()
+        np.testing.assert_allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
+    assert len(shuffles) > 14
+
+
+def test_all_options_boost_once(data, monkeypatch):
+    from panelmill.plans import selection as S
+
+    _, df = data
+    names = FEATS[:3]
+    plan, fits, plain = fold_plan(period_axis(df), 20), [], T.fit_units
+    for module in (E, T):
+        monkeypatch.setattr(module, "fit_units", lambda d, t, f, units, kind="random_forest", *a, **k: (fits.append((kind, len(units))), plain(d, t, f, units, kind, *a, **k))[1])
+    small = {"rounds": 3, "depth": 2}
+    _, scores = S.run_all_fs(df, names, "y", plan, top_k=3, forest={"trees": 3, "depth": 2}, gbt=small)
+    windows = len(windows_of(plan))
+    assert [n for kind, n in fits if kind == "gbt"] == [windows + 1]   # the folds and the embedded method together
+    got = {r["feature"]: r["score"] for r in scores.where("category = 'embedded' AND method = 'gbt'").collect()}
+    want = E.tree_select(df, names, "y", "gbt", 3, **small).toPandas().set_index("feature").importance
+    assert got == pytest.approx(want.to_dict(), abs=1e-9)
