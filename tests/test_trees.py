@@ -308,3 +308,50 @@ def test_all_options_boost_once(data, monkeypatch):
     got = {r["feature"]: r["score"] for r in scores.where("category = 'embedded' AND method = 'gbt'").collect()}
     want = E.tree_select(df, names, "y", "gbt", 3, **small).toPandas().set_index("feature").importance
     assert got == pytest.approx(want.to_dict(), abs=1e-9)
+
+
+def test_boosting_counts_codes_of_several_features():
+    cuts = [np.arange(31.0), np.arange(10.0), np.array([0.5]), np.arange(20.0), np.array([]), np.arange(8.0)]
+    fields = T.code_fields(cuts)
+    assert max(g for g, _, _ in fields) == 1 and all(shift + bits <= T.CODE for _, shift, bits in fields)   # 20 bits in two codes
+    rng = np.random.default_rng(3)
+    n, p, left = 900, len(cuts), []
+    x = np.stack([rng.integers(0, len(c) + 1, n) for c in cuts], axis=1).astype(np.uint8)
+    y, order = rng.normal(size=n), np.sort(rng.integers(0, 10, n))
+    tree = T._Tree(0, -1, 7)
+    tree.feature[:127], tree.cut[:127] = rng.integers(-1, p, 127), rng.integers(0, 8, 127)
+    tree.feature[[4, 9]], tree.feature[0] = -1, 0
+    for level in (0, 1, 3, 4, 5, 6):
+        blocks = [T._load({"n": n, "x": x.tobytes(), "y": y.tobytes(), "ord": order.astype("<i8").tobytes()}, fields, [(0, 7)])] * 2
+        width = 1 << level
+        active = rng.permutation(width).astype(np.int64) if level else None
+        if level:
+            active[rng.integers(0, width)] = -1
+            nodes = int(active.max()) + 1
+        else:
+            nodes = 1
+        slots, m = np.tile(np.arange(p), (nodes, 1)), int((order <= 7).sum())
+        found = dict(T._histograms(blocks, [(0, -1, False, T.Route(tree.feature, tree.cut, level), active, slots)], level, fields))[0]
+        want = np.zeros((2, nodes, p, T.BINS))
+        for r in range(m):
+            i = 0
+            for _ in range(level):
+                f = tree.feature[i]
+                i = 2 * i + 1 + int(f >= 0 and x[r, f] > tree.cut[i])
+            at = active[i - width + 1] if level else 0
+            if at >= 0:
+                want[:, at, np.arange(p), x[r]] += np.array([[2.0 if level else 0.0], [2 * y[r]]])
+        assert (found[0] == want[0]).all() and np.allclose(found[1], want[1])
+        np.testing.assert_array_equal(T._tally(blocks[0], fields)[0][1], np.stack([np.bincount(x[:m, f], minlength=T.BINS) for f in range(p)]))
+
+
+def test_boosting_leaves_no_files(spark, data):
+    import glob
+
+    from panelmill.session import run_folder, shared_folder
+
+    _, df = data
+    kept = lambda: {*glob.glob(f"{shared_folder(spark)}/*/rdd-*"), *glob.glob(f"{run_folder(spark)}/settled-*")}
+    before = kept()
+    T.fit_units(df, "y", FEATS, [(0, 29, {"rounds": 23, "depth": 1})], "gbt", cuts=CUTS)
+    assert kept() == before
