@@ -355,3 +355,40 @@ def test_boosting_leaves_no_files(spark, data):
     before = kept()
     T.fit_units(df, "y", FEATS, [(0, 29, {"rounds": 23, "depth": 1})], "gbt", cuts=CUTS)
     assert kept() == before
+
+
+def test_forests_count_nodes_as_they_count_slots(monkeypatch):
+    rng = np.random.default_rng(8)
+    n, p, k = 3000, 14, 7
+    x, y, order = rng.integers(0, T.BINS, (n, p)).astype(np.uint8), rng.normal(size=n), np.sort(rng.integers(0, 9, n))
+    row = {"n": n, "x": x.tobytes(), "y": y.tobytes(), "ord": order.astype("<i8").tobytes(), "h": rng.integers(0, 1 << 63, n).astype("<u8").tobytes()}
+    tree = T._Tree(0, 0, 5)
+    tree.feature[:31], tree.cut[:31] = rng.integers(0, p, 31), rng.integers(0, 31, 31)
+    for level in (0, 1, 3, 4):
+        width = 1 << level
+        active = None if level < 3 else np.where(np.arange(width) % 3 == 1, -1, np.cumsum(np.arange(width) % 3 != 1) - 1)
+        slots = np.stack([T._subset(1, 0, 0, i, p, k) for i in range(width if active is None else int(active.max()) + 1)])
+        count = lambda: dict(T._counted(T._pack([row], p, [(0, 6)]), [(0, 0, True, T.Route(tree.feature, tree.cut, level), active, slots)], level, 1))[0]
+        monkeypatch.undo()
+        found = [count()]
+        monkeypatch.setattr(T, "PAIRED", 0)
+        found.append(count())
+        monkeypatch.setattr(T, "NEAR", 0)
+        want = count()
+        assert want[0].sum() > 0 and all((f[0] == want[0]).all() and np.allclose(f[1], want[1]) for f in found)
+
+
+def test_boruta_shuffles_rows_once(spark, monkeypatch):
+    from panelmill.operators import distributed as X
+
+    rng = np.random.default_rng(4)
+    d = pd.DataFrame({"id": np.arange(300), "a": rng.normal(size=300), "b": rng.normal(size=300)})
+    d["y"] = d.a + 0.1 * rng.normal(size=300)
+    df, dealt, plain = spark.createDataFrame(d), [], X.dealt
+    monkeypatch.setattr(X, "dealt", lambda *a: (dealt.append(1), plain(*a))[1])
+    E.boruta(df, ["a", "b"], "y", ["id"], rounds=3, trees=3, depth=2)
+    assert len(dealt) == 1
+    for r in range(2):   # what a round uses is what ``permuted`` gives
+        one, two = (t.select("a", "b", "y", "__p").toPandas().sort_values(["a", "b"]).reset_index(drop=True) for t in (
+            X.exchanged(plain(df, ["a", "b"], ["id"]), ["a", "b"], seed=42, only=r), X.permuted(df, ["a", "b"], ["id"], r + 1, 42, only=r)))
+        pd.testing.assert_frame_equal(one, two)
