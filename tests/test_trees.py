@@ -392,3 +392,30 @@ def test_boruta_shuffles_rows_once(spark, monkeypatch):
         one, two = (t.select("a", "b", "y", "__p").toPandas().sort_values(["a", "b"]).reset_index(drop=True) for t in (
             X.exchanged(plain(df, ["a", "b"], ["id"]), ["a", "b"], seed=42, only=r), X.permuted(df, ["a", "b"], ["id"], r + 1, 42, only=r)))
         pd.testing.assert_frame_equal(one, two)
+
+
+def test_attributions_are_summed_and_not_written(spark, data, monkeypatch):
+    d, df = data
+    model = T.fit_trees(df, "y", FEATS, "gbt", cuts=CUTS, rounds=3, depth=2)
+    written, plain = [], A.settle
+    monkeypatch.setattr(A, "settle", lambda t: (written.append(plain(t)), written[-1])[1])
+    parts = {"early": (None, "2001-01-01"), "late": ("2000-06-01", None)}   # they overlap
+    got = A.tree_report(df.withColumn("id", F.monotonically_increasing_id()), FEATS, "y", model, ["id"], 2, regimes=parts).where("section <> 'permutation'").toPandas()
+    assert [t.count() for t in written] == [d.period.dt.to_period("M").nunique() * len(FEATS)]   # sums by period only
+    phi = A.tree_shap(df, FEATS, model).select("period", *[f"phi_{f}" for f in FEATS]).toPandas()
+    phi["period"] = pd.to_datetime(phi.period)
+    value = lambda section, part, f: got[(got.section == section) & (got.part == part) & (got.feature == f)].value.item()
+    for f in FEATS:
+        size = phi[f"phi_{f}"].abs()
+        assert value("attribution", "all", f) == pytest.approx(size.mean(), abs=1e-12)
+        assert value("regime", "early", f) == pytest.approx(size[phi.period < "2001-01-01"].mean(), abs=1e-12)
+        assert value("regime", "late", f) == pytest.approx(size[phi.period >= "2000-06-01"].mean(), abs=1e-12)
+        assert value("season", "Q2", f) == pytest.approx(size[phi.period.dt.quarter == 2].mean(), abs=1e-12)
+
+
+def test_importances_of_nothing_and_of_nulls(spark):
+    phi = spark.createDataFrame([("a", 1.0, None), ("a", -3.0, None), (None, 2.0, None)], "k string, phi_x double, phi_z double")
+    rows = lambda t: sorted((r["feature"], r["importance"], r["n_samples"]) for r in t.collect())
+    assert rows(A.mean_abs_importance(phi, ["x", "z"])) == [("x", 2.0, 3), ("z", None, 0)]
+    assert rows(A.mean_abs_importance(phi, ["x"], ["k"])) == [("x", 2.0, 1), ("x", 2.0, 2)]
+    assert rows(A.mean_abs_importance(phi.where("false"), ["x", "z"])) == []
